@@ -1,28 +1,25 @@
 """Record schemas and typed loads (explicit schema, defaults filled in by the plan)."""
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructType
 
 METADATA = "MAP<STRING,STRING>"
 
-PROMPT = StructType.fromDDL(f"prompt_id STRING, prompt STRING, source STRING, metadata {METADATA}")
-ANSWER = StructType.fromDDL(f"prompt_id STRING, kind STRING, text STRING, model STRING, metadata {METADATA}")
-PAIR = StructType.fromDDL(f"prompt_id STRING, prompt STRING, chosen STRING, rejected STRING, metadata {METADATA}")
-REQUEST = StructType.fromDDL(
+PROMPT = f"prompt_id STRING, prompt STRING, source STRING, metadata {METADATA}"
+ANSWER = f"prompt_id STRING, kind STRING, text STRING, model STRING, metadata {METADATA}"
+PAIR = f"prompt_id STRING, prompt STRING, chosen STRING, rejected STRING, metadata {METADATA}"
+REQUEST = (
     f"prompt_id STRING, source_prompt STRING, generation_prompt STRING, model STRING, metadata {METADATA}"
 )
-METHOD_OUTPUT = StructType.fromDDL(
+METHOD_OUTPUT = (
     "prompt_id STRING, prompt STRING, method STRING, final_answer STRING, latency_ms DOUBLE, "
     "verifier_call_count DOUBLE, source_model STRING, source_run_id STRING"
 )
-SCORE = StructType.fromDDL("prompt_id STRING, method STRING, score DOUBLE, source_run_id STRING")
-TRAINER_STATE = StructType.fromDDL(
+SCORE = "prompt_id STRING, method STRING, score DOUBLE, source_run_id STRING"
+TRAINER_STATE = (
     "global_step BIGINT, best_metric DOUBLE, best_model_checkpoint STRING, "
     "log_history ARRAY<MAP<STRING,STRING>>"
 )
 
-EMPTY_MAP = F.expr("CAST(map() AS MAP<STRING,STRING>)")
-
 _REQUIRED = {
     "prompt": ["prompt_id", "prompt"],
     "answer": ["prompt_id"],
@@ -35,8 +32,12 @@ _DEFAULTS = {
 }
 
 
+def empty_map() -> Column:
+    return F.expr("CAST(map() AS MAP<STRING,STRING>)")
+
+
 def metadata_map(col: Column | None) -> Column:
-    return EMPTY_MAP if col is None else F.coalesce(col, EMPTY_MAP)
+    return empty_map() if col is None else F.coalesce(col, empty_map())
 
 
 def typed(df: DataFrame, record: str, extra: list[str] = ()) -> DataFrame:
