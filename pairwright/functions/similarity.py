@@ -14,23 +14,22 @@ from pyspark.sql import Column, functions as F
 from pairwright.functions import text as T
 
 
-def _reaches(left: str, right: str, threshold: float) -> bool:
-    matcher = SequenceMatcher(None, left, right)
-    # the first two are upper bounds of the third
-    return (
-        matcher.real_quick_ratio() >= threshold
-        and matcher.quick_ratio() >= threshold
-        and matcher.ratio() >= threshold
-    )
-
-
 def _verdict_udf(threshold: float):
+    # self-contained, so that the workers need nothing but pandas
     @F.pandas_udf("boolean")
     def verdict(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series(
-            [None if a is None or b is None else _reaches(a, b, threshold) for a, b in zip(left, right)],
-            dtype="object",
-        )
+        def reaches(a, b):
+            if a is None or b is None:
+                return None
+            matcher = SequenceMatcher(None, a, b)
+            # the first two are upper bounds of the third
+            return (
+                matcher.real_quick_ratio() >= threshold
+                and matcher.quick_ratio() >= threshold
+                and matcher.ratio() >= threshold
+            )
+
+        return pd.Series([reaches(a, b) for a, b in zip(left, right)], dtype="object")
 
     return verdict
 
