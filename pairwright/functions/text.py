@@ -1,34 +1,40 @@
 """Text quality metrics as Column expressions.
 
 All functions are built from JVM-side built-ins, so they run inside the scan stage of
-whatever query uses them.  Line structure is found with anchored patterns over the
-whole text; only the repeated-line metrics split a text into an array.
+whatever query uses them.
 
 Whitespace and line breaks follow Python's ``str`` rules (Unicode whitespace plus
-U+001C..U+001F), which neither Spark's ``trim`` nor Java's ``\\s`` covers.
+U+001C..U+001F), which neither Spark's ``trim`` nor Java's backslash-s covers.  Most texts
+hold nothing but blanks and line feeds; one cheap scan tells (``_is_odd``), and only
+other texts pay for the general rules.  Patterns are kept to forms that the regex engine
+scans fast: few character ranges, possessive repeats, no look-behind.
 """
 
 from pyspark.sql import Column, functions as F
 
 from pairwright import fixed_values as fixed
 
-_LINE_BREAKS = r"\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029"
-_INLINE_SPACES = r" \t\x1F\xA0\u1680\u2000-\u200A\u202F\u205F\u3000"
-WS = f"[{_LINE_BREAKS}{_INLINE_SPACES}]"
-NOT_WS = f"[^{_LINE_BREAKS}{_INLINE_SPACES}]"
-_BREAK = f"[{_LINE_BREAKS}]"
-_INLINE = f"[{_INLINE_SPACES}]"
-_LINE_START = rf"(?:\A|(?<={_BREAK}))"
-
-# A run of whitespace that holds a line break.  Matches only from the start of a run and
-# never gives characters back, so long runs of blanks stay linear.
-_LINE_GAP = f"(?<!{_INLINE}){_INLINE}*+{_BREAK}{WS}*+"
+_RARE = r"[\u1680-\u3000&&[\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]]"
+_RARE_SPACES = r"[\u1680-\u3000&&[\u1680\u2000-\u200A\u202F\u205F\u3000]]"
+_ODD_BREAKS = r"[\x0B\f\r\x1C\x1D\x1E\x85\u2028-\u2029]"
+_ODD_SPACES = rf"[\t\x1F\xA0{_RARE_SPACES}]"
+_ODD = rf"[\t\x0B\f\r\x1C\x1D\x1E\x1F\x85\xA0{_RARE}]"
+WS = rf"[ \t\n\x0B\f\r\x1C\x1D\x1E\x1F\x85\xA0{_RARE}]"
 
 SPACE_CHARS = (
-    "\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029 \t\x1f\xa0\u1680"
-    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200A\u202F\u205F\u3000"
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200A\u2028\u2029\u202F\u205F\u3000"
 )
 
+# A literal that every match of a default pattern contains: without it there is nothing to count.
+_CONTAINED = {
+    r">>>+": ">>>",
+    r"===>+": "===>",
+    r"-{2,}>": "-->",
+    r"<-{2,}": "<--",
+    r"={3,}": "===",
+}
+
 METRICS = [
     "abnormal_symbol_count",
     "code_fence_mismatch",
@@ -49,29 +55,55 @@ def is_blank(text: Column) -> Column:
     return strip(F.coalesce(text, F.lit(""))) == ""
 
 
+def _is_odd(text: Column) -> Column:
+    """Holds whitespace other than blanks and line feeds."""
+    return F.rlike(text, F.lit(_ODD))
+
+
+def _plain(text: Column) -> Column:
+    """Line breaks as line feeds and other whitespace as blanks."""
+    breaks = F.regexp_replace(text, _ODD_BREAKS, "\n")
+    return F.when(_is_odd(text), F.regexp_replace(breaks, _ODD_SPACES, " ")).otherwise(text)
+
+
+def _count_if_contained(text: Column, literal: str, count: Column) -> Column:
+    return F.when(F.contains(text, F.lit(literal)), count).otherwise(0)
+
+
 def substring_count(text: Column, needle: str) -> Column:
     """Non-overlapping occurrences of a literal."""
-    return ((F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))) / F.lit(len(needle))).cast("int")
+    removed = F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))
+    return _count_if_contained(text, needle, (removed / F.lit(len(needle))).cast("int"))
+
+
+def _total(counts: list[Column]) -> Column:
+    return sum(counts[1:], counts[0])
 
 
 def abnormal_symbol_count(text: Column, patterns: list[str] = fixed.ABNORMAL_SYMBOL_PATTERNS) -> Column:
     """Matches of every pattern, counted independently of each other."""
-    return sum((F.regexp_count(text, F.lit(p)) for p in patterns[1:]), F.regexp_count(text, F.lit(patterns[0])))
+    counts = []
+    for pattern in patterns:
+        count = F.regexp_count(text, F.lit(pattern))
+        literal = _CONTAINED.get(pattern)
+        counts.append(_count_if_contained(text, literal, count) if literal else count)
+    return _total(counts)
 
 
 def slogan_phrase_count(text: Column, phrases: list[str] = fixed.SLOGAN_PHRASES) -> Column:
     lowered = F.lower(text)
-    return sum((substring_count(lowered, p) for p in phrases[1:]), substring_count(lowered, phrases[0]))
+    return _total([substring_count(lowered, phrase) for phrase in phrases])
 
 
 def heading_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(rf"{_LINE_START}#{{1,6}}{_INLINE}+{NOT_WS}"))
+    """Lines of one to six number signs, whitespace and more."""
+    count = F.regexp_count(_plain(text), F.lit(r"(?dm)^#{1,6} +[^ \n]"))
+    return _count_if_contained(text, "#", count)
 
 
 def list_item_count(text: Column) -> Column:
-    return F.regexp_count(
-        text, F.lit(rf"{_LINE_START}{_INLINE}*+(?:[-*+]|\p{{Nd}}+[.)]){_INLINE}+{NOT_WS}")
-    )
+    """Lines that start with a bullet or an ordinal, whitespace and more."""
+    return F.regexp_count(_plain(text), F.lit(r"(?dm)^ *+(?:[-*+]|\p{Nd}++[.)]) +[^ \n]"))
 
 
 def code_fence_mismatch(text: Column) -> Column:
@@ -79,27 +111,29 @@ def code_fence_mismatch(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """ASCII words, as the quality tables count them."""
-    return F.regexp_count(text, F.lit("[A-Za-z0-9_]+"))
+    """ASCII words, as the quality tables count them: one character is kept of each and counted."""
+    return F.length(F.regexp_replace(text, r"\A\W++|(\w)\w*+\W*+", "$1"))
 
 
 def token_count(text: Column) -> Column:
     """Whitespace-separated tokens, as the decode penalties and the rule scorer count them."""
-    return F.regexp_count(text, F.lit(f"{NOT_WS}+"))
+    return F.length(F.regexp_replace(_plain(text), r"\A[ \n]++|([^ \n])[^ \n]*+[ \n]*+", "$1"))
 
 
-def _repeats(text: Column) -> Column:
-    lines = F.split(strip(text), _LINE_GAP)
+def _repeats(text: Column, compared: Column) -> Column:
+    plain = F.transform(F.split(compared, "\n"), lambda line: F.trim(line))
+    general = F.transform(F.split(F.regexp_replace(compared, _ODD_BREAKS, "\n"), "\n"), strip)
+    lines = F.filter(F.when(_is_odd(text), general).otherwise(plain), lambda line: line != "")
     return F.size(lines) - F.size(F.array_distinct(lines))
 
 
 def repeated_line_count(text: Column) -> Column:
     """Second and later occurrences of a line, ignoring case, edge blanks and blank lines."""
-    return _repeats(F.lower(text))
+    return _repeats(text, F.lower(text))
 
 
 def repeated_line_count_exact_case(text: Column) -> Column:
-    return _repeats(text)
+    return _repeats(text, text)
 
 
 def text_metrics(text: Column) -> Column:

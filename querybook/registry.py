@@ -16,6 +16,7 @@ from pairwright.plans import evaluation
 from pairwright.schemas import METHOD_OUTPUT, empty_map
 from pairwright.session import fresh_dir
 from pairwright.sources import csv_tables, exports, jsonl, prompts as prompt_sources, score_cache
+from pairwright.sources.tables import read_table
 from pairwright.streaming import incremental
 from querybook.views import with_views
 
@@ -33,10 +34,13 @@ def query(build: Query) -> Query:
 
 def view(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     """The last named view; the given tables are read lazily, so only used columns are scanned."""
-    for table in ("documents", "labels", "conversations", "events"):
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+    sql = with_views(*names)
+    for table in ("documents", "labels", "conversations"):
+        if f" {table}" not in sql:
+            continue
+        read_table(spark, f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
     last = {"VAL_PAIRS": "val_pairs", "RUNS": "runs"}.get(names[-1].upper(), names[-1])
-    return spark.sql(f"{with_views(*names)} SELECT * FROM {last}")
+    return spark.sql(f"{sql} SELECT * FROM {last}")
 
 
 def outputs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,7 +319,7 @@ def prompt_assignment(spark, sf_dir):
     """Documents matched with the generated prompts, one prompt after the other."""
     size = len(fixed.TOPIC_CONCEPTS) * len(fixed.SCENARIOS) * len(fixed.OUTPUT_REQUIREMENTS) * len(fixed.TASK_TEMPLATES)
     generated = prompt_sources.generate_prompts(spark, size)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+    docs = read_table(spark, f"{sf_dir}/documents.parquet").select(
         "doc_id", F.format_string("taxonomy-%06d", F.col("doc_id") % size + 1).alias("prompt_id")
     )
     return joins.dimension_join(docs, generated, ["prompt_id"], "inner").select(
@@ -681,7 +685,7 @@ def near_duplicate_answers(spark, sf_dir):
 @query
 def training_runs(spark, sf_dir):
     """Documents read as run logs: a line of even length is a training loss, of odd length an eval loss."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, f"{sf_dir}/documents.parquet")
     entry = lambda line, i: F.create_map(
         F.lit("step"), i.cast("string"),
         F.when(F.length(line) % 2 == 0, "loss").otherwise("eval_loss"), F.length(line).cast("string"),
