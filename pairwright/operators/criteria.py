@@ -17,6 +17,7 @@ from pairwright.operators.requests import column_or
 
 WEIGHTS = ["repeated_penalty", "length_penalty_per_100_words", "abnormal_penalty"]
 TOLERANCE = 0.002
+COUNTS = ["repeated_line_count", "word_count", "abnormal_symbol_count", "code_fence_mismatch", "slogan_phrase_count"]
 
 
 def weight_grid(
@@ -43,12 +44,11 @@ def search_criteria(pairs: DataFrame, grid: list[tuple[float, float, float]] | N
     ``pairs`` holds chosen_text, rejected_text, chosen_score and rejected_score.
     """
     grid = weight_grid() if grid is None else grid
-    weights = F.array(
-        *(
-            F.struct(F.lit(i).alias("grid_order"), *(F.lit(float(w)).alias(n) for n, w in zip(WEIGHTS, row)))
-            for i, row in enumerate(grid)
-        )
+    cells = (
+        f"named_struct('grid_order', {i}, " + ", ".join(f"'{n}', {float(w)!r}D" for n, w in zip(WEIGHTS, row)) + ")"
+        for i, row in enumerate(grid)
     )
+    weights = F.expr(f"array({', '.join(cells)})")
 
     def side(name: str):
         return criterion_score(
@@ -56,9 +56,10 @@ def search_criteria(pairs: DataFrame, grid: list[tuple[float, float, float]] | N
             *(F.col(f"w.{n}") for n in WEIGHTS),
         )
 
+    # eight numbers per pair, kept for the two passes below
+    features = pairs.select(*_features("chosen"), *_features("rejected")).persist()
     measured = (
-        pairs.select(*_features("chosen"), *_features("rejected"))
-        .select("*", F.explode(weights).alias("w"))
+        features.select("*", F.explode(weights).alias("w"))
         .select("w.*", (side("chosen") - side("rejected")).alias("margin"))
     )
     keys = ["grid_order", *WEIGHTS]
@@ -128,10 +129,10 @@ def score_methods(outputs: DataFrame, scores: DataFrame, criterion: DataFrame, o
             F.col("score"), F.col("m.repeated_line_count"), F.col("m.word_count"), style_noise(F.col("m")),
             *(F.col(f"c.{n}") for n in WEIGHTS),
         ).alias("criterion_score"),
-        "m",
+        *(F.col(f"m.{c}").alias(c) for c in COUNTS),
         "latency_ms",
         "verifier_call_count",
-    )
+    ).persist()  # numbers only, kept for the two passes below
     return stats_with_median(
         rows,
         ["method"],
@@ -139,11 +140,11 @@ def score_methods(outputs: DataFrame, scores: DataFrame, criterion: DataFrame, o
             F.count(F.lit(1)).alias("count"),
             F.avg("criterion_score").alias("criterion_score_mean"),
             F.avg("score").alias("verifier_score_mean"),
-            F.sum("m.repeated_line_count").alias("repeated_line_total"),
-            F.avg("m.word_count").alias("word_count_mean"),
-            F.sum("m.abnormal_symbol_count").alias("abnormal_symbol_total"),
-            F.sum("m.code_fence_mismatch").alias("code_fence_mismatch_total"),
-            F.sum("m.slogan_phrase_count").alias("slogan_phrase_total"),
+            F.sum("repeated_line_count").alias("repeated_line_total"),
+            F.avg("word_count").alias("word_count_mean"),
+            F.sum("abnormal_symbol_count").alias("abnormal_symbol_total"),
+            F.sum("code_fence_mismatch").alias("code_fence_mismatch_total"),
+            F.sum("slogan_phrase_count").alias("slogan_phrase_total"),
             F.avg("latency_ms").alias("latency_ms_mean"),
             F.avg("verifier_call_count").alias("verifier_call_count_mean"),
         ],

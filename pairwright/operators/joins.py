@@ -9,7 +9,7 @@ gives the same result; it only changes how the rows are spread.
 
 from math import ceil
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 MAX_HEAVY_KEYS = 100
 TRACKED_KEYS = 10_000
@@ -69,11 +69,21 @@ def keyed_join(
     return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
 
 
+def _width(df: DataFrame) -> Column:
+    """Approximate bytes of a row."""
+    width = F.lit(8 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind == "string":
+            width = width + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0))
+    return width
+
+
 def dimension_join(facts: DataFrame, dimension: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Broadcast the dimension when its measured size is small, else join by key."""
     size = dimension.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(F.length(F.to_json(F.struct(*dimension.columns)))), F.lit(0)).alias("bytes"),
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(_width(dimension)), F.lit(0)).alias("bytes")
     ).first()
     if size.rows <= BROADCAST_ROWS and size.bytes <= BROADCAST_BYTES:
         return facts.join(F.broadcast(dimension), on, how)

@@ -25,11 +25,14 @@ def rule_scorer(rewards: list[str] = (), penalties: list[str] = ()) -> Scorer:
 
 
 def client_scorer(open_client: Callable[[], object]) -> Scorer:
+    # a null answer is not sent to the client
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         client = open_client()
         for prompts, answers in batches:
-            yield pd.Series([float(client.score(p, a)) for p, a in zip(prompts, answers)], dtype="float64")
+            yield pd.Series(
+                [None if a is None else float(client.score(p, a)) for p, a in zip(prompts, answers)], dtype="float64"
+            )
 
     return lambda prompt, answer: score(prompt, answer)
 
@@ -68,7 +71,7 @@ def margins(scored: DataFrame) -> DataFrame:
 
 def validate_scores(scored: DataFrame, min_accuracy: float = 0.65) -> tuple[DataFrame, DataFrame]:
     """One-row report on how well the scores separate chosen from rejected, and the failing pairs."""
-    deltas = margins(scored)
+    deltas = margins(scored).persist()  # a few numbers per pair, read three times
     margin = F.col("margin")
     report = stats_with_median(
         deltas,

@@ -56,11 +56,11 @@ def scripted_expander(script: DataFrame, by_prompt: bool = False) -> Expander:
         keys = ["prompt_id", "prefix"] if by_prompt else ["prefix"]
         entries = _entries(script, keys, count)
         root = _entries(script.where(F.col("prefix") == ""), keys, count).withColumnRenamed("entries", "root")
-        found = dimension_join(beams, entries, keys, "left")
         if by_prompt:
-            found = dimension_join(found, root.drop("prefix"), ["prompt_id"], "left")
+            # a prompt has at most beam_width open beams, so no key is hot
+            found = beams.join(entries, keys, "left").join(root.drop("prefix"), ["prompt_id"], "left")
         else:
-            found = found.withColumn("root", root.select("root").scalar())
+            found = dimension_join(beams, entries, keys, "left").withColumn("root", root.select("root").scalar())
         return (
             found.withColumn("e", F.explode_outer(F.coalesce("entries", "root")))
             .select(
@@ -102,19 +102,30 @@ def client_expander(open_client: Callable[[], object]) -> Expander:
     return expand
 
 
-def _branch(
-    prompt: Column, text: Column, logprob: Column, complete: Column,
-    scorer: Scorer, beta: float, length_weight: float, repeat_weight: float,
-) -> Column:
-    reward = scorer(prompt, text)
-    penalty = decode_penalties(text, length_weight, repeat_weight)
-    total = logprob + F.lit(float(beta)) * reward - penalty["length_penalty"] - penalty["repeated_line_penalty"]
+def _measured(grown: DataFrame, scorer: Scorer, length_weight: float, repeat_weight: float) -> DataFrame:
+    """Score and penalties of the candidate texts, each computed once; rows without a text get nulls."""
+    return grown.withColumns(
+        {
+            "reward": scorer(F.col("prompt"), F.col("text")),
+            "penalty": decode_penalties(F.col("text"), length_weight, repeat_weight),
+        }
+    )
+
+
+def _branch(beta: float) -> Column:
+    penalty = F.col("penalty")
+    total = (
+        F.col("logprob")
+        + F.lit(float(beta)) * F.col("reward")
+        - penalty["length_penalty"]
+        - penalty["repeated_line_penalty"]
+    )
     return F.struct(
-        text.alias("text"),
-        logprob.alias("generator_logprob"),
-        reward.alias("verifier_reward"),
+        "text",
+        F.col("logprob").alias("generator_logprob"),
+        F.col("reward").alias("verifier_reward"),
         total.alias("total_score"),
-        complete.alias("is_complete"),
+        "is_complete",
         F.lit(None).cast("string").alias("stopped_reason"),
         *(penalty[c].alias(c) for c in BRANCH[6:]),
     )
@@ -128,34 +139,29 @@ def _check(beam_width: int, expansions: int, max_steps: int, length_weight: floa
 
 
 def _ranked_step(candidates: DataFrame, beam_width: int, step: int) -> DataFrame:
-    """One row per prompt with its ranked, kept and pruned branches.
+    """One row per prompt with its ranked branches.
 
     Input: prompt_id, prompt, place (order of arrival), branch, scored.
     """
     key = F.struct((-F.col("branch.total_score")).alias("k"), "place", "branch")
     ranked = F.transform(F.array_sort(F.collect_list(key)), lambda x: x["branch"])
+    kept = F.slice("candidates", 1, beam_width)
     return (
         candidates.groupBy("prompt_id")
         .agg(F.first("prompt").alias("prompt"), ranked.alias("candidates"), F.sum(F.col("scored").cast("int")).alias("calls"))
-        .select(
-            "prompt_id",
-            "prompt",
-            F.lit(step).alias("step_index"),
-            "candidates",
-            F.slice("candidates", 1, beam_width).alias("kept"),
-            F.slice("candidates", F.lit(beam_width + 1), F.greatest(F.size("candidates"), F.lit(1))).alias("pruned"),
-            "calls",
-        )
-        .withColumn("finished", F.forall("kept", lambda b: b["is_complete"]))
+        .withColumns({"step_index": F.lit(step), "finished": F.forall(kept, lambda b: b["is_complete"])})
     )
 
 
 def _results(steps: DataFrame, parameters: dict[str, float]) -> DataFrame:
     """Decoding results from the ranked steps of every prompt."""
-    trace = F.struct("step_index", "candidates", "kept", "pruned")
+    width = parameters["beam_width"]
+    kept = F.slice("candidates", 1, width)
+    pruned = F.slice("candidates", F.lit(width + 1), F.greatest(F.size("candidates"), F.lit(1)))
+    trace = F.struct("step_index", "candidates", kept.alias("kept"), pruned.alias("pruned"))
     per_prompt = steps.groupBy("prompt_id").agg(
         F.max_by("prompt", "step_index").alias("prompt"),
-        F.max_by("kept", "step_index").alias("branches"),
+        F.max_by(kept, "step_index").alias("branches"),
         F.sum("calls").alias("verifier_call_count"),
         F.array_sort(F.collect_list(trace)).alias("steps"),
     )
@@ -187,17 +193,18 @@ def rerank(
     ``candidates`` has prompt_id, ord (from 0), text, logprob, is_complete and optionally prompt.
     """
     _check(beam_width, expansions, 1, length_weight, repeat_weight)
-    prompt = column_or(candidates, "prompt", "")
-    scored = candidates.where(F.col("ord") < expansions).select(
+    first = candidates.where(F.col("ord") < expansions).select(
         "prompt_id",
-        prompt.alias("prompt"),
+        column_or(candidates, "prompt", "").alias("prompt"),
         F.col("ord").cast("long").alias("place"),
-        _branch(
-            prompt, F.col("text"), F.col("logprob").cast("double"), F.col("is_complete"),
-            scorer, beta, length_weight, repeat_weight,
-        ).alias("branch"),
+        "text",
+        F.col("logprob").cast("double").alias("logprob"),
+        "is_complete",
         F.lit(True).alias("scored"),
     )
+    scored = _measured(first, scorer, length_weight, repeat_weight).select(
+        "prompt_id", "prompt", "place", _branch(beta).alias("branch"), "scored"
+    )
     parameters = _parameters(beam_width, expansions, beta, 1, length_weight, repeat_weight)
     return _results(_ranked_step(scored, beam_width, 0), parameters)
 
@@ -251,24 +258,27 @@ def beam(
             F.lit("no_expansions").alias("stopped_reason"),
             *(F.col(f"b.{c}").alias(c) for c in BRANCH[6:]),
         )
-        grown = _branch(
-            F.col("prompt"),
-            F.concat("b.text", "cand_text"),
-            F.col("b.generator_logprob") + F.col("cand_logprob"),
-            F.col("cand_complete"),
-            scorer, beta, length_weight, repeat_weight,
-        )
         has_more = F.col("cand_text").isNotNull()
         place = F.col("rank").cast("long") * F.lit(expansions)
-        candidates = expanded.select(
+        grown = expanded.select(
             "prompt_id",
             "prompt",
             (place + F.coalesce("cand_ord", F.lit(0))).alias("place"),
-            F.when(has_more, grown).otherwise(stopped).alias("branch"),
+            stopped.alias("stopped"),
             has_more.alias("scored"),
-        ).unionByName(
-            beams.where(~is_open).select(
-                "prompt_id", "prompt", place.alias("place"), F.col("b").alias("branch"), F.lit(False).alias("scored")
+            F.concat("b.text", "cand_text").alias("text"),
+            (F.col("b.generator_logprob") + F.col("cand_logprob")).alias("logprob"),
+            F.col("cand_complete").alias("is_complete"),
+        )
+        candidates = (
+            _measured(grown, scorer, length_weight, repeat_weight)
+            .select(
+                "prompt_id", "prompt", "place", F.when(F.col("scored"), _branch(beta)).otherwise(F.col("stopped")).alias("branch"), "scored"
+            )
+            .unionByName(
+                beams.where(~is_open).select(
+                    "prompt_id", "prompt", place.alias("place"), F.col("b").alias("branch"), F.lit(False).alias("scored")
+                )
             )
         )
         ranked = _ranked_step(candidates, beam_width, step).checkpoint()
@@ -276,7 +286,7 @@ def beam(
         open_prompts = ranked.where(~F.col("finished"))
         if step + 1 == max_steps or open_prompts.isEmpty():
             break
-        beams = open_prompts.select("prompt_id", "prompt", F.posexplode("kept").alias("rank", "b"))
+        beams = open_prompts.select("prompt_id", "prompt", F.posexplode(F.slice("candidates", 1, beam_width)).alias("rank", "b"))
     return _results(steps, _parameters(beam_width, expansions, beta, max_steps, length_weight, repeat_weight))
 
 

@@ -212,7 +212,7 @@ def preference_export_leaks(spark, sf_dir):
     split = splits.split_by_id(pairs_of(spark, sf_dir))
     held_out = exports.test_prompts(split)
     seen = split.where(F.col("split") != "test").select("prompt_id").distinct()
-    return joins.keyed_join(held_out.select("prompt_id"), seen, ["prompt_id"], "left_semi").agg(
+    return held_out.select("prompt_id").join(seen, "prompt_id", "left_semi").agg(
         F.count(F.lit(1)).alias("leaked")
     )
 
