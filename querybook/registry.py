@@ -12,7 +12,7 @@ from pairwright.operators import (
     answer_rules, checks, compare, completeness, criteria, guardrail, joins, preference, requests, scoring,
     selection, splits, tables, training_log,
 )
-from pairwright.plans import evaluation
+from pairwright.plans import evaluation, preference as preference_plan
 from pairwright.schemas import METHOD_OUTPUT, empty_map
 from pairwright.session import fresh_dir
 from pairwright.sources import csv_tables, exports, jsonl, prompts as prompt_sources, score_cache
@@ -209,7 +209,7 @@ def split_overlap(spark, sf_dir):
 @query
 def preference_export_leaks(spark, sf_dir):
     """Test prompts never share an id with the exported pairs."""
-    split = splits.split_by_id(pairs_of(spark, sf_dir))
+    split, _ = preference_plan.prepare_preferences(*pair_inputs(spark, sf_dir))
     held_out = exports.test_prompts(split)
     seen = split.where(F.col("split") != "test").select("prompt_id").distinct()
     return held_out.select("prompt_id").join(seen, "prompt_id", "left_semi").agg(
