@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pairwright.functions.text import is_blank
+
 CORRUPT = "_corrupt_record"
 
 
@@ -12,16 +14,15 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_jsonl_quarantine(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Good rows, and malformed lines with the file they stand in."""
-    raw = (
-        spark.read.schema(f"{schema}, {CORRUPT} STRING")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
-        .withColumn("_file", F.col("_metadata.file_path"))
+    lines = (
+        spark.read.text(path)
+        .select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+        .where(~is_blank(F.col("line")))
     )
-    good = raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "_file")
-    bad = raw.where(F.col(CORRUPT).isNotNull()).select(F.col("_file").alias("file"), F.col(CORRUPT).alias("line"))
-    return good, bad
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    parsed = lines.withColumn("row", F.from_json("line", f"{schema}, {CORRUPT} STRING", options))
+    bad = F.col(f"row.{CORRUPT}").isNotNull()
+    return parsed.where(~bad).select("row.*").drop(CORRUPT), parsed.where(bad).select("file", "line")
 
 
 def with_sequence(df: DataFrame) -> DataFrame:
