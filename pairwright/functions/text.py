@@ -124,7 +124,8 @@ def _repeats(text: Column, compared: Column) -> Column:
     plain = F.transform(F.split(compared, "\n"), lambda line: F.trim(line))
     general = F.transform(F.split(F.regexp_replace(compared, _ODD_BREAKS, "\n"), "\n"), strip)
     lines = F.filter(F.when(_is_odd(text), general).otherwise(plain), lambda line: line != "")
-    return F.size(lines) - F.size(F.array_distinct(lines))
+    # bound to a lambda variable, so that the lines are made once and read twice
+    return F.transform(F.array(lines), lambda made: F.size(made) - F.size(F.array_distinct(made)))[0]
 
 
 def repeated_line_count(text: Column) -> Column:
@@ -136,19 +137,24 @@ def repeated_line_count_exact_case(text: Column) -> Column:
     return _repeats(text, text)
 
 
+def metric_columns(text: Column) -> dict[str, Column]:
+    """The eight metrics of a text, one column each, so that a query computes only those it reads."""
+    text = F.coalesce(text, F.lit(""))
+    return {
+        "abnormal_symbol_count": abnormal_symbol_count(text),
+        "code_fence_mismatch": code_fence_mismatch(text),
+        "slogan_phrase_count": slogan_phrase_count(text),
+        "heading_count": heading_count(text),
+        "list_item_count": list_item_count(text),
+        "character_count": F.length(text),
+        "word_count": word_count(text),
+        "repeated_line_count": repeated_line_count(text),
+    }
+
+
 def text_metrics(text: Column) -> Column:
     """All eight metrics of a text as one struct."""
-    text = F.coalesce(text, F.lit(""))
-    return F.struct(
-        abnormal_symbol_count(text).alias("abnormal_symbol_count"),
-        code_fence_mismatch(text).alias("code_fence_mismatch"),
-        slogan_phrase_count(text).alias("slogan_phrase_count"),
-        heading_count(text).alias("heading_count"),
-        list_item_count(text).alias("list_item_count"),
-        F.length(text).alias("character_count"),
-        word_count(text).alias("word_count"),
-        repeated_line_count(text).alias("repeated_line_count"),
-    )
+    return F.struct(*(column.alias(name) for name, column in metric_columns(text).items()))
 
 
 def decode_penalties(text: Column, length_weight: float = 0.0, repeat_weight: float = 0.0) -> Column:

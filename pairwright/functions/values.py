@@ -1,5 +1,7 @@
 """Small value rules: yes flags, numbers, budgets, map merges, correlation, score formulas."""
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, functions as F
 
 from pairwright import fixed_values as fixed
@@ -76,7 +78,7 @@ def rule_reward(answer: Column, rewards: list[str] = (), penalties: list[str] =
     return hits(rewards) - hits(penalties) + bonus
 
 
-def style_noise(metrics: Column) -> Column:
+def style_noise(metrics: Mapping[str, Column] | Column) -> Column:
     return metrics["abnormal_symbol_count"] + metrics["code_fence_mismatch"] + metrics["slogan_phrase_count"]
 
 

@@ -9,7 +9,7 @@ from itertools import product
 from pyspark.sql import DataFrame, functions as F
 
 from pairwright import fixed_values as fixed
-from pairwright.functions.text import text_metrics
+from pairwright.functions.text import metric_columns
 from pairwright.functions.values import criterion_score, number_or_zero, style_noise
 from pairwright.operators.joins import keyed_join, last_by_key
 from pairwright.operators.quantiles import stats_with_median
@@ -29,7 +29,7 @@ def weight_grid(
 
 
 def _features(side: str):
-    m = text_metrics(F.col(f"{side}_text"))
+    m = metric_columns(F.col(f"{side}_text"))
     return [
         F.col(f"{side}_score").cast("double").alias(f"{side}_score"),
         m["repeated_line_count"].cast("double").alias(f"{side}_repeats"),
@@ -110,10 +110,11 @@ def score_methods(outputs: DataFrame, scores: DataFrame, criterion: DataFrame, o
     """
     chosen = criterion.select(F.struct(*WEIGHTS).alias("c")).scalar()
     latest = last_by_key(scores.select("prompt_id", "method", F.col("score").cast("double").alias("score"), order), ["prompt_id", "method"], order)
+    metrics = metric_columns(column_or(outputs, "final_answer", ""))
     measured = outputs.select(
         "prompt_id",
         "method",
-        text_metrics(column_or(outputs, "final_answer", "")).alias("m"),
+        *(metrics[c].alias(c) for c in COUNTS),
         number_or_zero(outputs, "latency_ms").alias("latency_ms"),
         number_or_zero(outputs, "verifier_call_count").alias("verifier_call_count"),
     )
@@ -126,10 +127,11 @@ def score_methods(outputs: DataFrame, scores: DataFrame, criterion: DataFrame, o
         "method",
         "score",
         criterion_score(
-            F.col("score"), F.col("m.repeated_line_count"), F.col("m.word_count"), style_noise(F.col("m")),
+            F.col("score"), F.col("repeated_line_count"), F.col("word_count"),
+            style_noise({c: F.col(c) for c in COUNTS}),
             *(F.col(f"c.{n}") for n in WEIGHTS),
         ).alias("criterion_score"),
-        *(F.col(f"m.{c}").alias(c) for c in COUNTS),
+        *COUNTS,
         "latency_ms",
         "verifier_call_count",
     ).persist()  # numbers only, kept for the two passes below

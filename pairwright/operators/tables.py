@@ -1,8 +1,8 @@
 """Per-method tables over the method-output fact table.
 
 Every table is one hash aggregation with map-side combine; texts are reduced to numbers
-in the scan stage and are never shuffled.  Pass a table that already carries ``metrics``
-(see :func:`with_metrics`) to reuse the numbers for several tables.
+in the scan stage and are never shuffled.  Pass a table that already carries the metric
+columns (see :func:`with_metrics`) to reuse the numbers for several tables.
 """
 
 from functools import reduce
@@ -21,10 +21,10 @@ HUMAN_FLAGS = [
 
 
 def with_metrics(outputs: DataFrame, answer: Column | None = None) -> DataFrame:
-    """Add the ``metrics`` struct of the answer text."""
-    if "metrics" in outputs.columns:
+    """Add the metrics of the answer text as columns; those a query does not read are pruned."""
+    if set(T.METRICS) <= set(outputs.columns):
         return outputs
-    return outputs.withColumn("metrics", T.text_metrics(answer_of(outputs) if answer is None else answer))
+    return outputs.withColumns(T.metric_columns(answer_of(outputs) if answer is None else answer))
 
 
 def _by_method(df: DataFrame):
@@ -38,10 +38,14 @@ def static_metrics(outputs: DataFrame) -> DataFrame:
 
 
 def summarize_metrics(rows: DataFrame, names: list[str] = T.METRICS) -> DataFrame:
-    """Row count and mean of each metric by method; absent values do not enter a mean."""
+    """Row count and mean of each metric by method; absent values do not enter a mean.
+
+    The metrics are fields of a ``metrics`` struct, or columns.
+    """
+    nested = "metrics" in rows.columns
     return _by_method(rows).agg(
         F.count(F.lit(1)).alias("count"),
-        *(F.avg(F.col("metrics")[name]).alias(f"{name}_mean") for name in sorted(names)),
+        *(F.avg(F.col("metrics")[name] if nested else F.col(name)).alias(f"{name}_mean") for name in sorted(names)),
     )
 
 
@@ -64,7 +68,7 @@ def overall_table(outputs: DataFrame) -> DataFrame:
     names = ["abnormal_symbol_count", "code_fence_mismatch", "slogan_phrase_count", "word_count"]
     return (
         _by_method(with_metrics(outputs))
-        .agg(F.count(F.lit(1)).alias("count"), *(F.avg(f"metrics.{n}").alias(f"{n}_mean") for n in names))
+        .agg(F.count(F.lit(1)).alias("count"), *(F.avg(n).alias(f"{n}_mean") for n in names))
         .orderBy("method")
     )
 
@@ -73,7 +77,7 @@ def error_breakdown(outputs: DataFrame) -> DataFrame:
     names = ["abnormal_symbol_count", "code_fence_mismatch", "slogan_phrase_count", "repeated_line_count"]
     return (
         _by_method(with_metrics(outputs))
-        .agg(*(F.sum(f"metrics.{n}").alias(f"{n}_total") for n in names))
+        .agg(*(F.sum(n).alias(f"{n}_total") for n in names))
         .orderBy("method")
     )
 

@@ -3,6 +3,7 @@
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
+from pairwright.functions.text import METRICS
 from pairwright.operators import compare, criteria, tables
 from pairwright.operators.completeness import Outputs, completeness_report, merge_outputs
 from pairwright.operators.guardrail import guardrail_details, guardrail_summary
@@ -27,7 +28,7 @@ def evaluation_assets(
     """
     numbers = (
         tables.with_metrics(outputs)
-        .select(*(c for c in ("method", "latency_ms", "verifier_call_count") if c in outputs.columns), "metrics")
+        .select(*(c for c in ("method", "latency_ms", "verifier_call_count") if c in outputs.columns), *METRICS)
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     assets = {

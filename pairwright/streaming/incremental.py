@@ -54,9 +54,9 @@ def running_tables(outputs: DataFrame) -> DataFrame:
     calls = F.coalesce(F.col("verifier_call_count").cast("double"), F.lit(0.0))
     return measured.groupBy("method").agg(
         F.count(F.lit(1)).alias("count"),
-        F.avg("metrics.abnormal_symbol_count").alias("abnormal_symbol_count_mean"),
-        F.avg("metrics.word_count").alias("word_count_mean"),
-        F.sum("metrics.repeated_line_count").alias("repeated_line_count_total"),
+        F.avg("abnormal_symbol_count").alias("abnormal_symbol_count_mean"),
+        F.avg("word_count").alias("word_count_mean"),
+        F.sum("repeated_line_count").alias("repeated_line_count_total"),
         F.avg(latency).alias("latency_ms_mean"),
         F.avg(calls).alias("verifier_call_count_mean"),
     )

@@ -69,7 +69,7 @@ def shaped(df: DataFrame) -> DataFrame:
 
 @query
 def text_metrics(spark, sf_dir):
-    return longs(tables.with_metrics(outputs_of(spark, sf_dir)).select("prompt_id", "method", "metrics.*"))
+    return longs(tables.with_metrics(outputs_of(spark, sf_dir)).select("prompt_id", "method", *T.METRICS))
 
 
 @query
