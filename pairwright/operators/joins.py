@@ -2,13 +2,11 @@
 
 AQE splits a skewed partition only when both join inputs come straight from a shuffle.
 Here the right side is usually an aggregate (one row per key), so the split is made
-explicit: keys that a frequent-items sketch finds heavy get a salt on the left, and the
-right rows of just those keys are repeated once per salt.  Any choice of heavy keys
-gives the same result; it only changes how the rows are spread.
+explicit: the left rows of keys that a frequent-items sketch finds heavy meet a broadcast
+of the few right rows of just those keys, and are never shuffled; all other rows join by
+key as usual.  Any choice of heavy keys gives the same result, copies of one row included.
 """
 
-from math import ceil
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 MAX_HEAVY_KEYS = 100
@@ -22,8 +20,8 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def heavy_keys(df: DataFrame, on: list[str], min_rows: int = MIN_HEAVY_ROWS) -> tuple[list[int], int]:
-    """Hashes of the keys that hold more than one partition's fair share, and the salts they need.
+def heavy_keys(df: DataFrame, on: list[str], min_rows: int = MIN_HEAVY_ROWS) -> list[int]:
+    """Hashes of the keys that hold more than one partition's fair share of the rows.
 
     One pass over the key columns with a fixed-size sketch; at most ``MAX_HEAVY_KEYS``
     hash values come back to the driver.
@@ -36,37 +34,25 @@ def heavy_keys(df: DataFrame, on: list[str], min_rows: int = MIN_HEAVY_ROWS) ->
         )
         .first()
     )
-    partitions = shuffle_partitions(df)
-    fair = max(found.n / partitions, 1)
-    heavy = [item for item in (found.top or []) if item["count"] >= max(min_rows, fair)]
-    if not heavy:
-        return [], 1
-    salts = min(partitions, ceil(max(item["count"] for item in heavy) / fair) + 1)
-    return [item["item"] for item in heavy], salts
+    share = max(min_rows, found.n / shuffle_partitions(df))
+    return [item["item"] for item in (found.top or []) if item["count"] >= share]
 
 
 def keyed_join(
     left: DataFrame, right: DataFrame, on: list[str], how: str = "left", min_rows: int = MIN_HEAVY_ROWS
 ) -> DataFrame:
-    """Join a fact table with a table that has one row (or few) per key; ``left`` keys may be skewed.
+    """Join a fact table with a table that has one row per key; ``left`` keys may be skewed.
 
-    ``how`` is inner, left, left_semi or left_anti.
+    ``how`` is inner, left, left_semi or left_anti.  The key filters are pushed down to the
+    scans, so splitting the left side does not repeat the work above them.  The broadcast
+    holds at most ``MAX_HEAVY_KEYS`` rows, because the right side has one row per key.
     """
-    keys, salts = heavy_keys(left, on, min_rows)
+    keys = heavy_keys(left, on, min_rows)
     if not keys:
         return left.join(right, on, how)
-    listed = F.array(*(F.lit(k).cast("long") for k in keys))
-
-    def is_heavy():
-        return F.array_contains(listed, F.xxhash64(*on))
-
-    row_hash = F.xxhash64(*(c for c, t in left.dtypes if not t.startswith("map")))
-    salted_left = left.withColumn(
-        "_salt", F.when(is_heavy(), F.pmod(row_hash, F.lit(salts)).cast("int")).otherwise(0)
-    )
-    copies = F.when(is_heavy(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = right.withColumn("_salt", F.explode(copies))
-    return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
+    heavy = F.xxhash64(*on).isin(keys)
+    spread = left.where(heavy).join(F.broadcast(right.where(heavy)), on, how)
+    return left.where(~heavy).join(right, on, how).unionByName(spread)
 
 
 def _width(df: DataFrame) -> Column:

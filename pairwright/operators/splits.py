@@ -89,4 +89,5 @@ def split_by_id(
 
 def shared_ids(df: DataFrame, key: str = "prompt_id") -> DataFrame:
     """Ids found in more than one split; empty for a sound split."""
-    return df.groupBy(key).agg(F.count_distinct("split").alias("splits")).where(F.col("splits") > 1)
+    ends = df.groupBy(key).agg(F.min("split").alias("first"), F.max("split").alias("last"))
+    return ends.where(F.col("first") != F.col("last")).select(key)
