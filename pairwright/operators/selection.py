@@ -8,7 +8,7 @@ candidates in a step, so ranking is one aggregation with bounded groups.
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, GroupedData, Window, functions as F
 
 from pairwright.functions.text import decode_penalties, strip
 from pairwright.operators.joins import dimension_join, keyed_join
@@ -35,14 +35,23 @@ BRANCH = [
 ]
 
 
+def _by_slot(groups: GroupedData, slot: Column, slots: int, value: Column, *others: Column) -> DataFrame:
+    """Group to an array with one value per slot, smallest first; ``value`` must sort by what decides.
+
+    Each slot is an aggregate of its own, combined map-side, so the array never outgrows
+    ``slots`` however often a group or a candidate is repeated; repeats of a slot keep the smallest.
+    """
+    found = [F.min(F.when(slot == i, value)).alias(f"_slot_{i}") for i in range(slots)]
+    taken = F.array_sort(F.array_compact(F.array(*(f"_slot_{i}" for i in range(slots)))))
+    return groups.agg(*others, *found).withColumn("values", taken).drop(*(f"_slot_{i}" for i in range(slots)))
+
+
 def _entries(script: DataFrame, keys: list[str], count: int) -> DataFrame:
     """First ``count`` continuations per key; a row without text marks a key that has none."""
-    entry = F.struct("ord", "text", "logprob", "is_complete")
-    return (
-        script.where(F.col("text").isNull() | (F.col("ord") < count))
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), entry))).alias("entries"))
-    )
+    entry = F.when(F.col("text").isNotNull(), F.struct("ord", "text", "logprob", "is_complete"))
+    return _by_slot(
+        script.where(F.col("text").isNull() | (F.col("ord") < count)).groupBy(*keys), F.col("ord"), count, entry
+    ).withColumnRenamed("values", "entries")
 
 
 def scripted_expander(script: DataFrame, by_prompt: bool = False) -> Expander:
@@ -138,17 +147,20 @@ def _check(beam_width: int, expansions: int, max_steps: int, length_weight: floa
         raise ValueError("penalties must be non-negative")
 
 
-def _ranked_step(candidates: DataFrame, beam_width: int, step: int) -> DataFrame:
+def _ranked_step(candidates: DataFrame, beam_width: int, slots: int, step: int) -> DataFrame:
     """One row per prompt with its ranked branches.
 
-    Input: prompt_id, prompt, place (order of arrival), branch, scored.
+    Input: prompt_id, prompt, place (order of arrival, below ``slots``), branch, scored.
     """
     key = F.struct((-F.col("branch.total_score")).alias("k"), "place", "branch")
-    ranked = F.transform(F.array_sort(F.collect_list(key)), lambda x: x["branch"])
+    ranked = _by_slot(
+        candidates.groupBy("prompt_id"), F.col("place"), slots, key,
+        F.min("prompt").alias("prompt"), F.sum(F.col("scored").cast("int")).alias("calls"),
+    )
     kept = F.slice("candidates", 1, beam_width)
     return (
-        candidates.groupBy("prompt_id")
-        .agg(F.first("prompt").alias("prompt"), ranked.alias("candidates"), F.sum(F.col("scored").cast("int")).alias("calls"))
+        ranked.withColumn("candidates", F.transform("values", lambda x: x["branch"]))
+        .drop("values")
         .withColumns({"step_index": F.lit(step), "finished": F.forall(kept, lambda b: b["is_complete"])})
     )
 
@@ -206,7 +218,7 @@ def rerank(
         "prompt_id", "prompt", "place", _branch(beta).alias("branch"), "scored"
     )
     parameters = _parameters(beam_width, expansions, beta, 1, length_weight, repeat_weight)
-    return _results(_ranked_step(scored, beam_width, 0), parameters)
+    return _results(_ranked_step(scored, beam_width, expansions, 0), parameters)
 
 
 def _parameters(beam_width, expansions, beta, max_steps, length_weight, repeat_weight) -> dict[str, float]:
@@ -281,7 +293,7 @@ def beam(
                 )
             )
         )
-        ranked = _ranked_step(candidates, beam_width, step).checkpoint()
+        ranked = _ranked_step(candidates, beam_width, beam_width * expansions, step).checkpoint()
         steps = ranked if steps is None else steps.unionByName(ranked)
         open_prompts = ranked.where(~F.col("finished"))
         if step + 1 == max_steps or open_prompts.isEmpty():
