@@ -177,15 +177,36 @@ def sentences(text: Column) -> Column:
     return F.split(text, f"(?<=[.!?。]){WS}+|\\n+")
 
 
-def contains_term(text: Column, term: Column) -> Column:
-    """Case-insensitive whole-term match with ASCII word boundaries; a blank term never matches."""
+# Letters outside ASCII that equal an ASCII letter when case is ignored
+_FOLDING_TO_ASCII = "ſKİı"
+
+
+def folds_to_ascii(text: Column) -> Column:
+    """Holds a letter that only equals an ASCII letter when case is ignored."""
+    found = F.lit(False)
+    for letter in _FOLDING_TO_ASCII:
+        found = found | F.contains(text, F.lit(letter))
+    return found
+
+
+def contains_term(text: Column, term: Column, lowered: Column | None = None, folding: Column | None = None) -> Column:
+    """Case-insensitive whole-term match with ASCII word boundaries; a blank term never matches.
+
+    The pattern depends on the row, so it is compiled per row; a plain substring test keeps
+    that to the rows where the term can occur.  Pass ``lower(text)`` and
+    ``folds_to_ascii(text)`` as columns to compute them once for several terms.
+    """
     stripped = strip(term)
     quoted = F.concat(
         F.lit(r"(?iu)(?<![A-Za-z0-9_])\Q"),
         F.replace(stripped, F.lit(r"\E"), F.lit(r"\E\\E\Q")),
         F.lit(r"\E(?![A-Za-z0-9_])"),
     )
-    return (stripped != "") & F.regexp_like(text, quoted)
+    lowered = F.lower(text) if lowered is None else lowered
+    folding = folds_to_ascii(text) if folding is None else folding
+    ascii_term = F.octet_length(stripped) == F.length(stripped)
+    possible = ~ascii_term | folding | F.contains(lowered, F.lower(stripped))
+    return (stripped != "") & F.when(possible, F.regexp_like(text, quoted)).otherwise(False)
 
 
 def first_answer(*columns: Column) -> Column:

@@ -1,8 +1,8 @@
 """Required-keyword and unsafe-claim checks of answers."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pairwright.functions.text import contains_term
+from pairwright.functions.text import contains_term, folds_to_ascii
 from pairwright.operators.joins import dimension_join, last_by_key
 from pairwright.operators.requests import answer_of, column_or
 
@@ -26,14 +26,19 @@ def guardrail_details(outputs: DataFrame, prompts: DataFrame, order: str | None
     )
     none = F.expr("CAST(array() AS ARRAY<STRING>)")
     answer = F.col("answer")
+
+    def holds(term: Column) -> Column:
+        return contains_term(answer, term, F.col("lowered"), F.col("folding"))
+
     return (
         joined.withColumn("answer", checked)
+        .withColumns({"lowered": F.lower("answer"), "folding": folds_to_ascii(answer)})
         .select(
             "prompt_id",
             "method",
             F.coalesce("topic", F.lit("")).alias("topic"),
-            F.filter(F.coalesce("expected_keywords", none), lambda k: ~contains_term(answer, k)).alias("missing"),
-            F.filter(F.coalesce("unsafe_claims", none), lambda k: contains_term(answer, k)).alias("unsafe"),
+            F.filter(F.coalesce("expected_keywords", none), lambda k: ~holds(k)).alias("missing"),
+            F.filter(F.coalesce("unsafe_claims", none), lambda k: holds(k)).alias("unsafe"),
             F.length("answer").alias("answer_length"),
         )
         .select(

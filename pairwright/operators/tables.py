@@ -27,6 +27,12 @@ def with_metrics(outputs: DataFrame, answer: Column | None = None) -> DataFrame:
     return outputs.withColumns(T.metric_columns(answer_of(outputs) if answer is None else answer))
 
 
+def method_numbers(outputs: DataFrame) -> DataFrame:
+    """Method, cost and metric columns of the outputs without the texts; persist it to build several tables."""
+    cost = [c for c in ("latency_ms", "verifier_call_count") if c in outputs.columns]
+    return with_metrics(outputs).select(column_or(outputs, "method", "unknown").alias("method"), *cost, *T.METRICS)
+
+
 def _by_method(df: DataFrame):
     return df.withColumn("method", column_or(df, "method", "unknown")).groupBy("method")
 

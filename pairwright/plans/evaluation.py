@@ -3,7 +3,6 @@
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
-from pairwright.functions.text import METRICS
 from pairwright.operators import compare, criteria, tables
 from pairwright.operators.completeness import Outputs, completeness_report, merge_outputs
 from pairwright.operators.guardrail import guardrail_details, guardrail_summary
@@ -26,11 +25,7 @@ def evaluation_assets(
 
     Only the numbers are kept between the tables, never the texts.
     """
-    numbers = (
-        tables.with_metrics(outputs)
-        .select(*(c for c in ("method", "latency_ms", "verifier_call_count") if c in outputs.columns), *METRICS)
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    numbers = tables.method_numbers(outputs).persist(StorageLevel.MEMORY_AND_DISK)
     assets = {
         "overall": tables.overall_table(numbers),
         "errors": tables.error_breakdown(numbers),
@@ -79,10 +74,16 @@ def criteria_evaluation(
     return criteria.ranked_criteria(grid), chosen, criteria.score_methods(outputs, scores, chosen, order)
 
 
+def method_metrics(outputs: DataFrame) -> DataFrame:
+    """The three per-method tables as one; the text is measured once."""
+    numbers = tables.method_numbers(outputs).persist(StorageLevel.MEMORY_AND_DISK)
+    return tables.join_metric_tables(
+        tables.overall_table(numbers), tables.error_breakdown(numbers), tables.latency_table(numbers)
+    )
+
+
 def main_results(
     outputs: DataFrame, scores: DataFrame, method_scores: DataFrame, methods: list[str]
 ) -> DataFrame:
-    metrics = tables.join_metric_tables(
-        tables.overall_table(outputs), tables.error_breakdown(outputs), tables.latency_table(outputs)
-    )
+    metrics = method_metrics(outputs)
     return tables.results_table(metrics, method_scores, compare.score_summary(scores), methods)

@@ -129,10 +129,7 @@ def human_preference(spark, sf_dir):
 
 @query
 def metric_join(spark, sf_dir):
-    df = outputs_of(spark, sf_dir)
-    return shaped(
-        tables.join_metric_tables(tables.overall_table(df), tables.error_breakdown(df), tables.latency_table(df))
-    )
+    return shaped(evaluation.method_metrics(outputs_of(spark, sf_dir)))
 
 
 @query
@@ -522,8 +519,7 @@ def results_table(spark, sf_dir):
 
 @query
 def side_effects(spark, sf_dir):
-    df = outputs_of(spark, sf_dir)
-    metrics = tables.join_metric_tables(tables.overall_table(df), tables.error_breakdown(df))
+    metrics = evaluation.method_metrics(outputs_of(spark, sf_dir))
     return shaped(tables.side_effects(metrics, compare.score_summary(scores_of(spark, sf_dir)), "beam", "penalty"))
 
 
