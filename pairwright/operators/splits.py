@@ -69,22 +69,23 @@ def cut_points(ids: DataFrame, train_ratio: float, val_ratio: float) -> DataFram
 def split_by_id(
     df: DataFrame, key: str = "prompt_id", train_ratio: float = 0.8, val_ratio: float = 0.1, seed: int = 13
 ) -> DataFrame:
-    """Add a ``split`` column; all rows of an id share a split."""
+    """Add a ``split`` column; all rows of an id share a split.
+
+    The two cut points are found right away (two ids on the driver), so that reading the
+    result several times does not look for them again.
+    """
     if train_ratio < 0 or val_ratio < 0 or train_ratio + val_ratio > 1:
         raise ValueError("train_ratio and val_ratio leave no room for test records")
     ids = df.select(F.col(key).cast("string").alias(key)).distinct().select(_order(key, seed).alias("o"))
-    cuts = cut_points(ids, train_ratio, val_ratio).select(F.struct("train", "val").alias("c")).scalar()
+    cuts = cut_points(ids, train_ratio, val_ratio).first()
     here = _order(key, seed)
-    return (
-        df.withColumn("_cut", cuts)
-        .withColumn(
-            "split",
-            F.when(F.coalesce(here <= F.col("_cut.train"), F.lit(False)), "train")
-            .when(F.coalesce(here <= F.col("_cut.val"), F.lit(False)), "val")
-            .otherwise("test"),
-        )
-        .drop("_cut")
-    )
+
+    def upto(cut) -> Column:
+        if cut is None:
+            return F.lit(False)
+        return here <= F.struct(F.lit(cut.h).alias("h"), F.lit(cut.id).alias("id"))
+
+    return df.withColumn("split", F.when(upto(cuts.train), "train").when(upto(cuts.val), "val").otherwise("test"))
 
 
 def shared_ids(df: DataFrame, key: str = "prompt_id") -> DataFrame:

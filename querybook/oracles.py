@@ -577,6 +577,16 @@ ORACLES["training_runs"] = f"""SELECT CAST(doc_id AS VARCHAR) AS run, n_chars AS
   FROM documents"""
 ORACLES["jsonl_round_trip"] = f"""{with_views('outputs')}
   SELECT prompt_id, method, round(latency_ms, 9) AS latency_ms, CAST(verifier_call_count AS DOUBLE) AS verifier_call_count, md5(final_answer) AS answer_md5 FROM outputs"""
+ORACLES["jsonl_appended"] = f"""{with_views('outputs')}
+  SELECT method, count(*) AS count, CAST(sum(length(final_answer)) AS BIGINT) AS chars FROM outputs GROUP BY method"""
+ORACLES["jsonl_quarantine"] = """SELECT CASE WHEN lang = 'fr' THEN 'bad' ELSE 'good' END AS side, count(*) AS count,
+         CAST(sum(length(text) + CASE WHEN lang = 'fr' THEN 6 ELSE 0 END) AS BIGINT) AS chars
+  FROM documents GROUP BY side"""
+ORACLES["reward_files"] = f"""{PAIRED}{split_cte('pairs')}
+  SELECT split, prompt AS instruction, md5(chosen) AS chosen_md5, md5(rejected) AS rejected_md5, prompt_id
+  FROM pairs JOIN split USING (prompt_id) WHERE split <> 'test'"""
+ORACLES["typed_answers"] = """SELECT 'answer' AS kind, 'unknown' AS model, count(*) AS count,
+         CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS chars, max(turn) AS last_turn FROM conversations"""
 ORACLES["csv_round_trip"] = f"""{with_views('outputs')}
   SELECT CAST(seq AS VARCHAR) AS seq, prompt_id, method, round(latency_ms, 9) AS latency_ms, length(final_answer) AS answer_chars FROM outputs"""
 ORACLES["stream_method_tables"] = f"""{with_views('outputs')}{MEASURED}

@@ -2,18 +2,18 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairwright import fixed_values as fixed
 from pairwright.functions import text as T
 from pairwright.functions.similarity import near_duplicate
-from pairwright.functions.values import criterion_score, rule_reward, style_noise
+from pairwright.functions.values import rule_reward
 from pairwright.operators import (
     answer_rules, checks, compare, completeness, criteria, guardrail, joins, preference, requests, scoring,
     selection, splits, tables, training_log,
 )
 from pairwright.plans import evaluation, preference as preference_plan
-from pairwright.schemas import METHOD_OUTPUT, empty_map
+from pairwright.schemas import METHOD_OUTPUT, PROMPT, empty_map, typed
 from pairwright.session import fresh_dir
 from pairwright.sources import csv_tables, exports, jsonl, prompts as prompt_sources, score_cache
 from pairwright.sources.tables import read_table
@@ -706,6 +706,62 @@ def jsonl_round_trip(spark, sf_dir):
     return rounded(back.select("prompt_id", "method", "latency_ms", "verifier_call_count", F.md5("final_answer").alias("answer_md5")))
 
 
+@query
+def jsonl_appended(spark, sf_dir):
+    """Two appends to one table: the answers of each language group."""
+    path = fresh_dir(spark, "appended")
+    outputs = outputs_of(spark, sf_dir)
+    for english in (True, False):
+        part = outputs.where((F.col("lang") == "en") == F.lit(english))
+        jsonl.append_jsonl(part.select("prompt_id", "method", "final_answer"), path)
+    back = jsonl.read_jsonl(spark, path, METHOD_OUTPUT)
+    return back.groupBy("method").agg(
+        F.count(F.lit(1)).alias("count"), F.sum(F.length("final_answer")).alias("chars")
+    )
+
+
+@query
+def jsonl_quarantine(spark, sf_dir):
+    """French documents are written as plain text lines, all others as JSON lines."""
+    path = fresh_dir(spark, "quarantine")
+    docs = read_table(spark, f"{sf_dir}/documents.parquet")
+    record = F.to_json(F.struct(F.col("doc_id").cast("string").alias("prompt_id"), F.col("text").alias("prompt")))
+    line = F.when(F.col("lang") == "fr", F.concat(F.lit("plain "), F.regexp_replace("text", "[\\r\\n]", " "))).otherwise(record)
+    docs.select(line.alias("value")).write.text(path)
+    good, bad = jsonl.read_jsonl_quarantine(spark, path, PROMPT)
+    sides = good.select(F.lit("good").alias("side"), F.length("prompt").alias("chars")).unionByName(
+        bad.select(F.lit("bad").alias("side"), F.length("line").alias("chars"))
+    )
+    return sides.groupBy("side").agg(F.count(F.lit(1)).alias("count"), F.sum("chars").alias("chars"))
+
+
+@query
+def reward_files(spark, sf_dir):
+    """Exported reward-model rows of train and val, read back from their files."""
+    root = fresh_dir(spark, "reward")
+    split, _ = preference_plan.prepare_preferences(*pair_inputs(spark, sf_dir))
+    exports.export_reward(split, root, "pairs")
+    schema = "instruction STRING, input STRING, chosen STRING, rejected STRING, metadata MAP<STRING,STRING>"
+    parts = [
+        jsonl.read_jsonl(spark, f"{root}/{part}_rm", schema).withColumn("split", F.lit(part)) for part in ("train", "val")
+    ]
+    return parts[0].unionByName(parts[1]).select(
+        "split", "instruction", F.md5("chosen").alias("chosen_md5"), F.md5("rejected").alias("rejected_md5"),
+        F.col("metadata")["prompt_id"].alias("prompt_id"),
+    )
+
+
+@query
+def typed_answers(spark, sf_dir):
+    """Conversation turns loaded as answer records with defaults."""
+    raw = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
+        F.col("conv_id").alias("prompt_id"), F.when(F.col("role") == "assistant", F.col("text")).alias("text"), "turn"
+    )
+    return typed(raw, "answer", ["turn"]).groupBy("kind", "model").agg(
+        F.count(F.lit(1)).alias("count"), F.sum(F.length("text")).alias("chars"), F.max("turn").alias("last_turn")
+    )
+
+
 @query
 def csv_round_trip(spark, sf_dir):
     path = fresh_dir(spark, "csv")

@@ -3,7 +3,6 @@ import os
 import time
 
 import pytest
-from pyspark.sql import functions as F
 
 from pairwright import schemas
 from pairwright.operators import checks, preference, splits, training_log

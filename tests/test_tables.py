@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from pairwright.operators import compare, completeness, criteria, guardrail, scoring, tables
 from pairwright.sources.prompts import generate_prompts, guardrail_prompts
