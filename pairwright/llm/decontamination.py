@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pairwright.llm.shared import ascii_lower, keyed, replaced, same
 
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-PIECE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x60\x7B-\x7F]*"
-LEAD = r"^[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+PIECE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"  # a word of any case and what follows it
+LEAD = r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW_WORDS = 10
 BROADCAST_WINDOWS = 1_000_000
 REPORT = ["n_words", "n_hit", "n_items", "item_ids", "contaminated"]
@@ -67,13 +67,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS,
     else:
         at = at.withColumn("width", F.explode(F.when(F.col("at") == 0, F.array(F.lit(0))).otherwise(F.array(*map(F.lit, widths)))))
     fits = (F.col("at") == 0) | (F.col("at") + F.col("width") - 1 <= F.size("w"))
-    at = at.where(fits).withColumn("hash", F.when(F.col("at") > 0, F.xxhash64(F.slice("w", F.greatest("at", F.lit(1)), F.col("width")))))
+    # from here on a row holds its own window only, however long the text is
+    at = at.where(fits).select(
+        "doc_id", "digest", "row_id", "at", "width", F.when(F.col("at") == 0, F.size("w")).alias("n_words"),
+        F.when(F.col("at") > 0, F.slice("w", F.greatest("at", F.lit(1)), F.col("width"))).alias("own"),
+    ).withColumn("hash", F.when(F.col("at") > 0, F.xxhash64("own")))
     met = at.join(F.broadcast(sought) if small else sought, "hash", "left")
-    is_hit = F.col("window").isNotNull() & (F.col("width") == F.col("sought_width")) & (F.slice("w", F.greatest("at", F.lit(1)), F.col("width")) == F.col("window"))
+    is_hit = F.col("window").isNotNull() & (F.col("width") == F.col("sought_width")) & (F.col("own") == F.col("window"))
     kept = met.select(
-        "doc_id", "digest", "row_id", F.when(F.col("at") == 0, F.size("w")).alias("n_words"),
-        F.when(is_hit, F.struct("at", "width")).alias("hit"), F.when(is_hit, F.col("items")).alias("items"),
-    ).where("n_words IS NOT NULL OR hit IS NOT NULL")
+        "doc_id", "digest", "row_id", "n_words", F.when(is_hit, F.struct("at", "width")).alias("hit"), F.when(is_hit, F.col("items")).alias("items")
+    ).where("n_words IS NOT NULL OR hit IS NOT NULL")
     per_row = kept.groupBy("row_id", "doc_id", "digest").agg(
         F.max("n_words").cast("long").alias("n_words"), F.collect_list("hit").alias("hits"), F.collect_set("items").alias("items")
     )

@@ -190,8 +190,9 @@ def _changed(state: LineState, docs: DataFrame, sign: int) -> LineState:
     both = state.refs.select("hi", "lo", F.col("refs").alias("before"), F.lit(0).cast("long").alias("delta")).unionByName(delta.withColumn("before", F.lit(0).cast("long")))
     counted = landed(both.groupBy("hi", "lo").agg(F.sum("before").alias("before"), (F.sum("before") + F.sum("delta")).alias("refs")), "line-counts")
     keys = counted.withColumns({"refs": F.greatest("refs", F.lit(0)), "shard": _shard(state.shards), "shards": F.lit(state.shards)})
+    min_docs = state.min_docs
     old = state.filters.groupBy("shard")
-    filters = old.cogroup(keys.groupBy("shard")).applyInArrow(lambda held, t: _refreshed(held, t, state.min_docs) if len(t) else held, FILTERS)
+    filters = old.cogroup(keys.groupBy("shard")).applyInArrow(lambda held, t: _refreshed(held, t, min_docs) if len(t) else held, FILTERS)
     return replace(state, refs=counted.where("refs > 0").select("hi", "lo", "refs"), filters=landed(filters, "line-filters"))
 
 
