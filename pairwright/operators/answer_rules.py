@@ -7,7 +7,7 @@ than once.  Everything is row-local, so a check is one scan without a shuffle.
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pairwright import fixed_values as fixed
 from pairwright.functions.text import WS, SPACE_CHARS, sentences, strip, substring_count
@@ -74,10 +74,14 @@ def temporary_buffer_claim(text: Column) -> Column:
 
 def carried_subjects(answers: DataFrame, key: str, text: str) -> DataFrame:
     """One row per sentence with the carried-over subject (table form of the same rule)."""
-    rows = answers.select(key, F.posexplode(sentences(F.col(text))).alias("pos", "sentence"))
-    own = _subject(F.col("sentence"))
-    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("subject", F.coalesce(F.last(own, ignorenulls=True).over(before), F.lit("")))
+
+    def carry(state: Column, sentence: Column) -> Column:
+        subject = F.coalesce(_subject(sentence), F.try_element_at(state, F.lit(-1))["subject"], F.lit(""))
+        return F.concat(state, F.array(F.struct(sentence.alias("sentence"), subject.alias("subject"))))
+
+    start = F.expr("CAST(array() AS ARRAY<STRUCT<sentence: STRING, subject: STRING>>)")
+    folded = F.aggregate(sentences(F.col(text)), start, carry)  # within the row: nothing is shuffled
+    return answers.select(key, F.posexplode(folded).alias("pos", "s")).select(key, "pos", "s.sentence", "s.subject")
 
 
 def default_rules() -> list[Rule]:

@@ -3,10 +3,10 @@
 from pyspark.sql import DataFrame, functions as F
 
 
-def check_columns(df: DataFrame, required: list[str], sample: int | None = 5, order: str | None = None) -> DataFrame:
+def check_columns(df: DataFrame, required: list[str], sample: int | None = None, order: str | None = None) -> DataFrame:
     """One row: rows checked, rows with a missing required value, the columns missing, and ok.
 
-    ``sample`` checks only the first rows (in ``order`` if given), None checks all of them.  A
+    All rows are checked, or the first ``sample`` of them (in ``order`` if given).  A
     column absent from the schema is missing in every row; an empty table is not ok.
     """
     rows = df

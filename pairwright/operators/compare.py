@@ -42,10 +42,8 @@ def scores_by_prompt(scores: DataFrame, methods: list[str], order: str = "seq")
     )
 
 
-def pairwise(
-    scores: DataFrame, candidate: str, references: list[str], order: str = "seq", sample: int = 50
-) -> DataFrame:
-    """Wins, losses, ties, win rate and the first losing prompt ids against each reference method."""
+def compared_scores(scores: DataFrame, candidate: str, references: list[str], order: str = "seq") -> DataFrame:
+    """reference, prompt_id, first_seen, mine, other: one row per prompt that both methods have scored."""
     wide = scores_by_prompt(scores, [candidate, *references], order)
     against = F.explode(
         F.array(
@@ -55,11 +53,27 @@ def pairwise(
             )
         )
     )
-    compared = (
+    return (
         wide.select("prompt_id", "first_seen", F.col("score_0").alias("mine"), against.alias("a"))
         .select("prompt_id", "first_seen", "mine", "a.reference", "a.other")
         .where(F.col("mine").isNotNull() & F.col("other").isNotNull())
     )
+
+
+def losses(scores: DataFrame, candidate: str, references: list[str], order: str = "seq") -> DataFrame:
+    """Every lost prompt: candidate, reference, prompt_id, mine, other."""
+    lost = compared_scores(scores, candidate, references, order).where(F.col("mine") < F.col("other"))
+    return lost.select(F.lit(candidate).alias("candidate"), "reference", "prompt_id", "mine", "other")
+
+
+def pairwise(
+    scores: DataFrame, candidate: str, references: list[str], order: str = "seq", sample: int = 50
+) -> DataFrame:
+    """Wins, losses, ties, win rate against each reference method, and a short list of losing prompt ids.
+
+    ``loss_ids`` holds the first ``sample`` only; ``losses`` has them all.
+    """
+    compared = compared_scores(scores, candidate, references, order)
     counts = compared.groupBy("reference").agg(
         F.count_if(F.col("mine") > F.col("other")).alias("wins"),
         F.count_if(F.col("mine") < F.col("other")).alias("losses"),

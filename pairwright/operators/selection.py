@@ -1,17 +1,17 @@
 """Verifier-guided selection over candidate tables.
 
 All prompts advance together: a step is expand, score, rank, cut, for every open beam of
-every prompt at once.  A prompt never holds more than ``beam_width * expansions``
-candidates in a step, so ranking is one aggregation with bounded groups.
+every prompt at once.  A prompt holds only what its generator returned in a step, so
+ranking is one aggregation with small groups.
 """
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, GroupedData, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairwright.functions.text import decode_penalties, strip
-from pairwright.operators.joins import dimension_join, keyed_join
+from pairwright.operators.joins import dimension_join
 from pairwright.operators.requests import column_or
 from pairwright.operators.scoring import Scorer
 from pairwright.session import ensure_checkpoint_dir
@@ -35,23 +35,11 @@ BRANCH = [
 ]
 
 
-def _by_slot(groups: GroupedData, slot: Column, slots: int, value: Column, *others: Column) -> DataFrame:
-    """Group to an array with one value per slot, smallest first; ``value`` must sort by what decides.
-
-    Each slot is an aggregate of its own, combined map-side, so the array never outgrows
-    ``slots`` however often a group or a candidate is repeated; repeats of a slot keep the smallest.
-    """
-    found = [F.min(F.when(slot == i, value)).alias(f"_slot_{i}") for i in range(slots)]
-    taken = F.array_sort(F.array_compact(F.array(*(f"_slot_{i}" for i in range(slots)))))
-    return groups.agg(*others, *found).withColumn("values", taken).drop(*(f"_slot_{i}" for i in range(slots)))
-
-
 def _entries(script: DataFrame, keys: list[str], count: int) -> DataFrame:
-    """First ``count`` continuations per key; a row without text marks a key that has none."""
+    """First ``count`` continuations per key in the order of ``ord``; a row without text marks a key that has none."""
     entry = F.when(F.col("text").isNotNull(), F.struct("ord", "text", "logprob", "is_complete"))
-    return _by_slot(
-        script.where(F.col("text").isNull() | (F.col("ord") < count)).groupBy(*keys), F.col("ord"), count, entry
-    ).withColumnRenamed("values", "entries")
+    listed = script.where(F.col("text").isNull() | (F.col("ord") < count)).groupBy(*keys)
+    return listed.agg(F.array_sort(F.collect_list(entry)).alias("entries"))
 
 
 def scripted_expander(script: DataFrame, by_prompt: bool = False) -> Expander:
@@ -92,7 +80,7 @@ def client_expander(open_client: Callable[[], object]) -> Expander:
             client = open_client()
             for batch in batches:
                 found = [
-                    list(client.expand(p, x, count))[:count] or [(None, None, None)]
+                    list(client.expand(p, x, count)) or [(None, None, None)]
                     for p, x in zip(batch["prompt"], batch["prefix"])
                 ]
                 out = batch.loc[batch.index.repeat([len(f) for f in found])].reset_index(drop=True)
@@ -123,18 +111,21 @@ def _measured(grown: DataFrame, scorer: Scorer, length_weight: float, repeat_wei
 
 def _branch(beta: float) -> Column:
     penalty = F.col("penalty")
+    # a candidate that the scorer leaves out must not pass for one with a known total
+    reward = F.coalesce("reward", F.when(F.col("text").isNotNull(), F.raise_error("a candidate has no score").cast("double")))
+    logprob = F.coalesce("logprob", F.lit(0.0))
     total = (
-        F.col("logprob")
-        + F.lit(float(beta)) * F.col("reward")
+        logprob
+        + F.lit(float(beta)) * reward
         - penalty["length_penalty"]
         - penalty["repeated_line_penalty"]
     )
     return F.struct(
         "text",
-        F.col("logprob").alias("generator_logprob"),
+        logprob.alias("generator_logprob"),
         F.col("reward").alias("verifier_reward"),
         total.alias("total_score"),
-        "is_complete",
+        F.coalesce("is_complete", F.lit(False)).alias("is_complete"),
         F.lit(None).cast("string").alias("stopped_reason"),
         *(penalty[c].alias(c) for c in BRANCH[6:]),
     )
@@ -147,15 +138,15 @@ def _check(beam_width: int, expansions: int, max_steps: int, length_weight: floa
         raise ValueError("penalties must be non-negative")
 
 
-def _ranked_step(candidates: DataFrame, beam_width: int, slots: int, step: int) -> DataFrame:
-    """One row per prompt with its ranked branches.
+def _ranked_step(candidates: DataFrame, beam_width: int, step: int, keys: tuple[str, ...] = ("prompt_id", "prompt")) -> DataFrame:
+    """One row per prompt with its ranked branches; as many as the generator gave, none is left out.
 
-    Input: prompt_id, prompt, place (order of arrival, below ``slots``), branch, scored.
+    Input: prompt_id, prompt, place (order of arrival), branch, scored.
     """
     key = F.struct((-F.col("branch.total_score")).alias("k"), "place", "branch")
-    ranked = _by_slot(
-        candidates.groupBy("prompt_id"), F.col("place"), slots, key,
-        F.min("prompt").alias("prompt"), F.sum(F.col("scored").cast("int")).alias("calls"),
+    prompt = [] if "prompt" in keys else [F.min("prompt").alias("prompt")]
+    ranked = candidates.groupBy(*keys).agg(
+        *prompt, F.array_sort(F.collect_list(key)).alias("values"), F.sum(F.col("scored").cast("int")).alias("calls")
     )
     kept = F.slice("candidates", 1, beam_width)
     return (
@@ -171,8 +162,7 @@ def _results(steps: DataFrame, parameters: dict[str, float]) -> DataFrame:
     kept = F.slice("candidates", 1, width)
     pruned = F.slice("candidates", F.lit(width + 1), F.greatest(F.size("candidates"), F.lit(1)))
     trace = F.struct("step_index", "candidates", kept.alias("kept"), pruned.alias("pruned"))
-    per_prompt = steps.groupBy("prompt_id").agg(
-        F.max_by("prompt", "step_index").alias("prompt"),
+    per_prompt = steps.groupBy("prompt_id", "prompt").agg(
         F.max_by(kept, "step_index").alias("branches"),
         F.sum("calls").alias("verifier_call_count"),
         F.array_sort(F.collect_list(trace)).alias("steps"),
@@ -195,17 +185,20 @@ def rerank(
     candidates: DataFrame,
     scorer: Scorer,
     beam_width: int = 4,
-    expansions: int = 4,
+    expansions: int | None = None,
     beta: float = 1.0,
     length_weight: float = 0.0,
     repeat_weight: float = 0.0,
 ) -> DataFrame:
-    """Best of N: score the first ``expansions`` candidates of each prompt, keep the best ones.
+    """Best of N: score all candidates of each prompt (or its first ``expansions`` by ``ord``), keep the best ones.
 
-    ``candidates`` has prompt_id, ord (from 0), text, logprob, is_complete and optionally prompt.
+    ``candidates`` has prompt_id, ord (from 0), text, logprob, is_complete and optionally
+    prompt.  Repeated ``ord`` values are candidates of their own; a missing log-probability
+    counts as 0, a missing completeness as false, a missing score is an error.
     """
-    _check(beam_width, expansions, 1, length_weight, repeat_weight)
-    first = candidates.where(F.col("ord") < expansions).select(
+    _check(beam_width, expansions or 1, 1, length_weight, repeat_weight)
+    taken = candidates if expansions is None else candidates.where(F.col("ord") < expansions)
+    first = taken.select(
         "prompt_id",
         column_or(candidates, "prompt", "").alias("prompt"),
         F.col("ord").cast("long").alias("place"),
@@ -217,8 +210,8 @@ def rerank(
     scored = _measured(first, scorer, length_weight, repeat_weight).select(
         "prompt_id", "prompt", "place", _branch(beta).alias("branch"), "scored"
     )
-    parameters = _parameters(beam_width, expansions, beta, 1, length_weight, repeat_weight)
-    return _results(_ranked_step(scored, beam_width, expansions, 0), parameters)
+    parameters = _parameters(beam_width, "all" if expansions is None else expansions, beta, 1, length_weight, repeat_weight)
+    return _results(_ranked_step(scored, beam_width, 0, ("prompt_id",)), parameters)
 
 
 def _parameters(beam_width, expansions, beta, max_steps, length_weight, repeat_weight) -> dict[str, float]:
@@ -243,8 +236,9 @@ def beam(
     length_weight: float = 0.0,
     repeat_weight: float = 0.0,
 ) -> DataFrame:
-    """Multi-step beam selection for all prompts (unique prompt_id, prompt).
+    """Multi-step beam selection for all prompts (prompt_id, prompt).
 
+    Equal rows are one prompt; different prompts that share an id are decoded apart.
     Each step is checkpointed, so the plan stays short and a lost executor costs one step.
     The driver loop runs at most ``max_steps`` times and stops when no prompt has an open beam.
     """
@@ -257,9 +251,8 @@ def beam(
         F.lit(None).cast("string").alias("stopped_reason"), F.lit(0).alias("word_count"),
         F.lit(0).alias("repeated_line_count"), zero.alias("length_penalty"), zero.alias("repeated_line_penalty"),
     )
-    beams = prompts.select(
-        F.col("prompt_id").cast("string").alias("prompt_id"), "prompt", F.lit(0).alias("rank"), start.alias("b")
-    )
+    named = prompts.select(F.col("prompt_id").cast("string").alias("prompt_id"), "prompt").distinct()
+    beams = named.select("prompt_id", "prompt", F.lit(0).alias("rank"), start.alias("b"))
     steps = None
     for step in range(max_steps):
         is_open = ~F.col("b.is_complete")
@@ -271,7 +264,7 @@ def beam(
             *(F.col(f"b.{c}").alias(c) for c in BRANCH[6:]),
         )
         has_more = F.col("cand_text").isNotNull()
-        place = F.col("rank").cast("long") * F.lit(expansions)
+        place = F.col("rank").cast("long") * F.lit(1 << 32)  # by beam, then by arrival
         grown = expanded.select(
             "prompt_id",
             "prompt",
@@ -279,7 +272,7 @@ def beam(
             stopped.alias("stopped"),
             has_more.alias("scored"),
             F.concat("b.text", "cand_text").alias("text"),
-            (F.col("b.generator_logprob") + F.col("cand_logprob")).alias("logprob"),
+            (F.col("b.generator_logprob") + F.coalesce("cand_logprob", F.lit(0.0))).alias("logprob"),
             F.col("cand_complete").alias("is_complete"),
         )
         candidates = (
@@ -293,7 +286,7 @@ def beam(
                 )
             )
         )
-        ranked = _ranked_step(candidates, beam_width, beam_width * expansions, step).checkpoint()
+        ranked = _ranked_step(candidates, beam_width, step).checkpoint()
         steps = ranked if steps is None else steps.unionByName(ranked)
         open_prompts = ranked.where(~F.col("finished"))
         if step + 1 == max_steps or open_prompts.isEmpty():
@@ -371,17 +364,14 @@ def ucb_rank(visits: DataFrame, weight: float = 1.4) -> DataFrame:
 
     ``visits``: prompt_id, ord, visits, value_sum.  Unvisited children come first.
     """
-    totals = visits.groupBy("prompt_id").agg(F.greatest(F.lit(1), F.sum("visits")).alias("total"))
+    total = F.greatest(F.lit(1), F.sum("visits").over(Window.partitionBy("prompt_id")))
     n = F.col("visits")
     bound = F.when(n == 0, F.lit(float("inf"))).otherwise(
         F.try_divide("value_sum", n) + F.lit(float(weight)) * F.sqrt(F.try_divide(F.ln(F.col("total") + 1), n))
     )
     place = F.row_number().over(Window.partitionBy("prompt_id").orderBy(F.desc("ucb"), "ord"))
-    return (
-        keyed_join(visits, totals, ["prompt_id"], "inner")
-        .select("prompt_id", "ord", "visits", bound.alias("ucb"))
-        .withColumn("place", place)
-    )
+    # total and place share one partitioning, so the children are shuffled once
+    return visits.withColumn("total", total).select("prompt_id", "ord", "visits", bound.alias("ucb")).withColumn("place", place)
 
 
 def inference_records(results: DataFrame, generator_model: str, verifier_model: str) -> DataFrame:

@@ -4,11 +4,5 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet table.
-
-    Text work is bound by the CPU, so a table stored in fewer splits than there are cores
-    is spread over them first.  A table of normal size has far more splits and is read as it is.
-    """
-    table = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    """A parquet table as it is stored; the number of splits is the scan settings' matter."""
+    return spark.read.parquet(path)

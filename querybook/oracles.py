@@ -286,6 +286,10 @@ def against(candidate: str, reference: str, ids: bool = True) -> str:
 ORACLES["pairwise"] = f"{with_views('outputs', 'scores')}{wide('scores')} " + " UNION ALL ".join(
     against("penalty", r) for r in ("raw", "sft", "beam")
 )
+ORACLES["losing_prompts"] = f"{with_views('outputs', 'scores')}{wide('scores')} " + " UNION ALL ".join(
+    f"SELECT 'penalty' AS candidate, '{r}' AS reference, prompt_id, penalty AS mine, {r} AS other FROM wide WHERE penalty < {r}"
+    for r in ("raw", "sft", "beam")
+)
 ORACLES["regressions"] = f"""{with_views('outputs', 'scores')}{wide('scores')}
   SELECT w.prompt_id, round(w.penalty - w.beam, 9) AS margin, {', '.join(f'round(w.{m}, 9) AS score_{m}' for m in METHODS)},
          c.prompt, md5(b.final_answer) AS base_md5, md5(c.final_answer) AS candidate_md5

@@ -379,6 +379,13 @@ def pairwise(spark, sf_dir):
     return shaped(found.withColumn("loss_ids", F.array_join("loss_ids", ",")))
 
 
+@query
+def losing_prompts(spark, sf_dir):
+    """Every prompt that the penalty method loses, against each reference."""
+    found = compare.losses(scores_of(spark, sf_dir), "penalty", ["raw", "sft", "beam"])
+    return found.select("candidate", "reference", "prompt_id", "mine", "other")
+
+
 @query
 def regressions(spark, sf_dir):
     found = compare.regressions(scores_of(spark, sf_dir), outputs_of(spark, sf_dir), "penalty", "beam")

@@ -45,20 +45,20 @@ rejected AS (
               ELSE next_text END AS text
   FROM turns WHERE next_text IS NOT NULL)"""
 
-# Labelled pairs: per prompt, its first output labelled good and its first labelled bad.
+# Labelled pairs: every output labelled bad meets one labelled good in its language, in turn.
 VAL_PAIRS = """
 picks AS (
-  SELECT o.prompt_id,
-         min(CASE WHEN l.quality = 1 THEN o.seq END) AS good,
-         min(CASE WHEN l.quality = 0 THEN o.seq END) AS bad
-  FROM outputs o JOIN labels l ON l.doc_id = o.seq
-  GROUP BY o.prompt_id),
+  SELECT o.seq, o.lang, l.quality,
+         row_number() OVER (PARTITION BY o.lang, l.quality ORDER BY o.seq) AS nth,
+         count(*) OVER (PARTITION BY o.lang, l.quality) AS n
+  FROM outputs o JOIN labels l ON l.doc_id = o.seq WHERE l.quality IN (0, 1)),
 val_pairs AS (
-  SELECT p.prompt_id, g.prompt AS prompt, g.final_answer AS chosen_text, b.final_answer AS rejected_text,
+  SELECT CAST(p.seq AS STRING) AS prompt_id, g.prompt AS prompt, g.final_answer AS chosen_text, b.final_answer AS rejected_text,
          gs.score AS chosen_score, bs.score AS rejected_score
-  FROM picks p
-  JOIN outputs g ON g.seq = p.good JOIN scores gs ON gs.seq = p.good
-  JOIN outputs b ON b.seq = p.bad JOIN scores bs ON bs.seq = p.bad)"""
+  FROM picks p JOIN picks q ON q.lang = p.lang AND q.quality = 1 AND q.nth = (p.nth - 1) % q.n + 1
+  JOIN outputs g ON g.seq = q.seq JOIN scores gs ON gs.seq = q.seq
+  JOIN outputs b ON b.seq = p.seq JOIN scores bs ON bs.seq = p.seq
+  WHERE p.quality = 0)"""
 
 # Raw runs as they arrive: beam repeats German answers, sft lacks Spanish ones, penalty is
 # blank for French ones.  Expected prompts lack those of the last source's raw answers.

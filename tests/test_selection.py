@@ -197,3 +197,23 @@ def test_records_and_traces(spark):
         records.withColumns({"seq": F.lit(0), "branch_scores": F.slice("branch_scores", 1, 0)})
     )
     assert selection.case_study_row(studied).first().seq == 1
+
+
+def test_rerank_keeps_every_candidate(spark):
+    columns = "prompt_id STRING, prompt STRING, ord INT, text STRING, logprob DOUBLE, is_complete BOOLEAN"
+    entries = [(0, "plain a", -1.0, True), (0, "plain b", -1.0, True), (1, "plain c", None, None), (9, "good end", -0.5, True)]
+    candidates = spark.createDataFrame([("p", "q", *e) for e in entries], columns)
+    (got,) = rows(selection.rerank(candidates, rule_scorer(["good"]), beam_width=4))
+    assert got["verifier_call_count"] == 4 and len(got["branches"]) == 4
+    assert got["final_answer"] == "good end"
+    unknown = next(b for b in got["branches"] if b["text"] == "plain c")
+    assert unknown["generator_logprob"] == 0.0 and unknown["is_complete"] is False
+
+
+def test_losses_are_complete(spark):
+    from pairwright.operators import compare
+
+    table = [(i, str(i), m, float(s)) for i in range(70) for m, s in (("new", 0), ("old", 1))]
+    scores = spark.createDataFrame(table, "seq LONG, prompt_id STRING, method STRING, score DOUBLE")
+    assert compare.losses(scores, "new", ["old"]).count() == 70
+    assert len(compare.pairwise(scores, "new", ["old"]).first().loss_ids) == 50

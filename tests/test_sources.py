@@ -7,7 +7,6 @@ import pytest
 from pairwright import schemas
 from pairwright.operators import checks, preference, splits, training_log
 from pairwright.operators.scoring import rule_scorer
-from pairwright.plans.smoke import run_smoke
 from pairwright.sources import csv_tables, exports, jsonl, score_cache, trainer_logs
 from pairwright.sources.tables import read_table
 from tests.conftest import rows
@@ -143,21 +142,18 @@ def test_prompt_length(spark):
     assert preference.within_length(df, 20, 800).count() == 1
 
 
-def test_read_table_spreads_small_tables(spark, tmp_path):
+def test_read_table_keeps_the_stored_splits(spark, tmp_path):
     spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/t")
     table = read_table(spark, f"{tmp_path}/t")
-    assert table.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and table.count() == 100
-
-
-def test_smoke_run(spark, tmp_path):
-    manifest = run_smoke(spark, str(tmp_path), 12).first()
-    assert (manifest.prompt_count, manifest.preference_pair_count, manifest.verifier_score_count) == (12, 12, 12)
-    assert manifest.demo_output_count == 2
-    report = json.loads(lines_of(f"{tmp_path}/validation")[0])
-    assert report["pairwise_accuracy"] == 1.0 and report["passed_min_accuracy"]
-    outputs = [json.loads(x) for x in lines_of(f"{tmp_path}/outputs")]
-    assert {o["final_answer"] for o in outputs} == {
-        "State assumptions, explain boundary conditions, and give a concise technical example."
-    }
-    with pytest.raises(ValueError):
-        run_smoke(spark, str(tmp_path), 2)
+    assert "Exchange" not in table._jdf.queryExecution().executedPlan().toString() and table.count() == 100
+
+
+def test_score_cache_goes_by_content(spark, tmp_path):
+    path, scorer = f"{tmp_path}/cache", rule_scorer(["good"])
+    columns = "prompt_id STRING, prompt STRING, chosen STRING, rejected STRING"
+    first = spark.createDataFrame([("a", "q", "good", "x"), ("a", "q", "plain", "x"), ("a", "q", "good", "x")], columns)
+    assert score_cache.score_with_cache(first, scorer, path).count() == 3
+    assert spark.read.parquet(path).count() == 2
+    changed = spark.createDataFrame([("a", "q", "plain", "good")], columns)
+    row = score_cache.score_with_cache(changed, scorer, path).first()
+    assert row.chosen_score < row.rejected_score and (row.chosen, row.rejected) == ("plain", "good")
