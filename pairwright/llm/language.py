@@ -78,11 +78,12 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
 
 
 def train(counts: np.ndarray, truth: np.ndarray, labels: tuple[str, ...], calibration: np.ndarray, seed: int = 7) -> LanguageModel:
-    """Stochastic gradient descent on the rows outside ``calibration`` (a mask)."""
+    """Stochastic gradient descent on the rows outside ``calibration`` (a mask).  ``counts`` is overwritten."""
     rng = np.random.default_rng(seed)
     embedding = rng.normal(0, 0.1, (counts.shape[1], DIM))
     weights = rng.normal(0, 0.1, (DIM, len(labels)))
-    mean = counts / counts.sum(axis=1, keepdims=True)
+    counts /= counts.sum(axis=1, keepdims=True)
+    mean = counts
     rows = np.flatnonzero(~calibration)
     share = np.bincount(truth[rows], minlength=len(labels)).clip(1)
     balance = (len(rows) / len(labels) / share)[truth]  # rare languages weigh as much as common ones
@@ -143,16 +144,18 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> LanguageModel:
                 "n": [found[i][found[i] > 0].clip(max=2**31 - 1).astype("<u4").tobytes() for i in keep],
             })
 
-    got = labelled_sample(docs, rows).mapInPandas(features, "lang string, unit double, at binary, n binary").toPandas()
-    got = got.sort_values(["unit", "lang", "at", "n"], kind="stable").reset_index(drop=True)
-    labels = tuple(sorted(got["lang"].unique()))
+    got = labelled_sample(docs, rows).mapInPandas(features, "lang string, unit double, at binary, n binary").orderBy("unit", "lang", "at", "n").toArrow()
+    named = got["lang"].to_pylist()
+    labels = tuple(sorted(set(named)))
     if not labels:
         return LanguageModel((), np.zeros((BUCKETS, DIM)), np.zeros((DIM, 0)), 1.0, 0.5)
-    counts = np.zeros((len(got), BUCKETS))
-    for i, (at, n) in enumerate(zip(got["at"], got["n"], strict=True)):
-        counts[i, np.frombuffer(at, "<u2")] = np.frombuffer(n, "<u4")
-    truth = got["lang"].map({label: i for i, label in enumerate(labels)}).to_numpy()
-    calibration = np.arange(len(got)) % 4 == 0 if len(got) >= 40 else np.zeros(len(got), bool)
+    # the one large table on the driver: bounded by the sample, in single precision
+    counts = np.zeros((len(named), BUCKETS), np.float32)
+    for row, at, n in zip(counts, got["at"], got["n"], strict=True):
+        row[np.frombuffer(at.as_buffer(), "<u2")] = np.frombuffer(n.as_buffer(), "<u4")
+    del got
+    truth = np.array([labels.index(lang) for lang in named])
+    calibration = np.arange(len(named)) % 4 == 0 if len(named) >= 40 else np.zeros(len(named), bool)
     return train(counts, truth, labels, calibration)
 
 
