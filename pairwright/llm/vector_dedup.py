@@ -63,29 +63,36 @@ def _placed(cosine: float, block_dims: int):
     return place
 
 
+def _matrix(vectors: pa.Array, dims: int) -> np.ndarray:
+    """Rows of doubles from a column of their bytes, without an object for each row."""
+    vectors = vectors.cast(pa.large_binary())
+    at = np.frombuffer(vectors.buffers()[1], np.int64)[vectors.offset : vectors.offset + len(vectors) + 1]
+    return np.frombuffer(vectors.buffers()[2], np.uint8)[at[0] : at[-1]].copy().view("<f8").reshape(-1, dims)
+
+
 def _verified(cosine: float, block_dims: int):
     budget = 2 - 2 * cosine
 
     def compare(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                dims, part = row["dims"], row["part"]
-                x = np.frombuffer(b"".join(row["own"]), "<f8").reshape(-1, dims)
-                y = np.frombuffer(b"".join(row["other"]), "<f8").reshape(-1, dims)
-                cx, cy = np.array(row["own_class"]), np.array(row["other_class"])
-                nx, ny = np.array(row["own_n"]), np.array(row["other_n"])
+            for row in range(batch.num_rows):
+                dims, part, same_tile = (batch[c][row].as_py() for c in ("dims", "part", "same_tile"))
+                x, y = (_matrix(batch[c][row].values, dims) for c in ("own", "other"))
+                cx, cy, nx, ny = (batch[c][row].values.to_numpy() for c in ("own_class", "other_class", "own_n", "other_n"))
                 cuts = blocks_of(dims, block_dims)
                 lo, hi = cuts[part]
                 bx, by = x[:, lo:hi].astype(np.float32), y[:, lo:hi].astype(np.float32)
-                far = (by * by).sum(axis=1)
+                one = lambda m: np.ones((len(m), 1), np.float32)
+                # squared distances as one product: (p, |p|^2, 1) times (-2q, 1, |q|^2)
+                left = np.hstack([bx, (bx * bx).sum(axis=1, keepdims=True), one(bx)])
+                right = np.ascontiguousarray(np.hstack([-2 * by, one(by), (by * by).sum(axis=1, keepdims=True)]).T)
                 limit = np.float32(budget * (hi - lo) / dims + GUARD * 10)
                 from_, to = [], []
                 for start in range(0, len(x), 256):
-                    p = bx[start : start + 256]
-                    near = (p * p).sum(axis=1)[:, None] + far[None, :] - 2 * (p @ by.T) <= limit
-                    i, j = np.nonzero(near)
+                    near = np.flatnonzero(left[start : start + 256] @ right <= limit)
+                    i, j = np.divmod(near, len(y))
                     i += start
-                    differ = cx[i] < cy[j] if row["same_tile"] else cx[i] != cy[j]
+                    differ = cx[i] < cy[j] if same_tile else cx[i] != cy[j]
                     i, j = i[differ], j[differ]
                     for cut in range(0, len(i), 1 << 16):
                         a, b = i[cut : cut + (1 << 16)], j[cut : cut + (1 << 16)]
