@@ -71,7 +71,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS,
     at = at.where(fits).select(
         "doc_id", "digest", "row_id", "at", "width", F.when(F.col("at") == 0, F.size("w")).alias("n_words"),
         F.when(F.col("at") > 0, F.slice("w", F.greatest("at", F.lit(1)), F.col("width"))).alias("own"),
-    ).withColumn("hash", F.when(F.col("at") > 0, F.xxhash64("own")))
+    ).withColumn("hash", F.when(F.col("at") > 0, F.xxhash64("own")).otherwise(F.xxhash64("row_id")))
+    # a marker's hash only spreads it: it has no window of its own, so it never is a hit
     met = at.join(F.broadcast(sought) if small else sought, "hash", "left")
     is_hit = F.col("window").isNotNull() & (F.col("width") == F.col("sought_width")) & (F.col("own") == F.col("window"))
     kept = met.select(

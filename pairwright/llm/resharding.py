@@ -4,6 +4,7 @@ Old shards with their bytes are the sources, new shards with their capacities th
 byte that stays costs nothing, a byte that moves costs one.  The flow says how many bytes go
 from each old shard to each new one.  Within an old shard the documents lie in blocks, large
 documents first, so what stays and what moves is cut between blocks, at small documents.
+Equal texts lie side by side, and a cut goes around their group unless the group is large.
 """
 
 import heapq
@@ -16,6 +17,9 @@ from pairwright.session import fresh_dir
 SHARDS = 40
 OVERHEAD = 16
 BLOCK_ROWS = 2048
+GROUP_ROWS = 512  # equal texts beyond are dealt over several blocks
+GROUP_SHARE = 50  # a group of equal texts up to this part of a shard is never cut
+BROADCAST_GROUPS = 100_000
 FILE_ROWS = 100_000
 ADDED = ["size", "text_crc32", "shard", "slot", "old_shard"]
 
@@ -83,7 +87,10 @@ def plan(docs: DataFrame, shards: int = SHARDS, old_shard=None, capacity: list[i
     ``old_shard`` is a column (0 up; by default a hash of the text, which puts equal texts
     together), ``capacity`` the bytes each new shard is to hold (by default equal), and must
     add up to all bytes.  Repeated rows share one entry and take ``rows`` slots from
-    ``slot`` on.  A null text has 0 bytes and a null checksum; an empty table gives no rows.
+    ``slot`` on.  Equal texts of one old shard stay together up to ``GROUP_ROWS`` documents and
+    a part of ``GROUP_SHARE`` of a shard; so many bytes a shard may miss its capacity by at
+    either end of a stretch.  A null text has 0 bytes and a null checksum; an empty table gives
+    no rows.
     """
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + OVERHEAD).cast("long")
     home = F.pmod(F.xxhash64("text"), F.lit(shards)) if old_shard is None else old_shard
@@ -96,7 +103,12 @@ def plan(docs: DataFrame, shards: int = SHARDS, old_shard=None, capacity: list[i
     parts = of_kind.select(F.col("old_shard").alias("o"), F.col("kind").alias("k"), F.ceil(F.col("n") / BLOCK_ROWS).alias("parts"))
     # a row for each old shard and size class: 768 classes at most
     units = units.withColumn("kind", kind).join(F.broadcast(parts), (F.col("old_shard") == F.col("o")) & (F.col("kind") == F.col("k"))).drop("o", "k")
-    units = units.withColumn("block", F.pmod(F.xxhash64("digest", "doc_id"), F.col("parts"))).drop("parts")
+    crowds = units.groupBy(F.col("digest").alias("crowd")).agg(F.count(F.lit(1)).alias("n")).where(f"n > {GROUP_ROWS}").select("crowd")
+    crowds = landed(crowds, "shard-crowds")
+    few = crowds.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    units = units.join(F.broadcast(crowds) if few else crowds, F.col("digest") == F.col("crowd"), "left")
+    dealt = F.when(F.col("crowd").isNull(), F.xxhash64("digest")).otherwise(F.xxhash64("digest", "doc_id"))
+    units = units.withColumn("block", F.pmod(dealt, F.col("parts"))).drop("parts")
     blocks = units.groupBy("old_shard", "kind", "block").agg(F.sum(F.col("size") * F.col("rows")).alias("bytes"))
     before = Window.partitionBy("old_shard").orderBy("kind", "block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = landed(blocks.withColumn("block_start", F.coalesce(F.sum("bytes").over(before), F.lit(0))), "shard-blocks")
@@ -119,9 +131,15 @@ def plan(docs: DataFrame, shards: int = SHARDS, old_shard=None, capacity: list[i
     # at most (old + new) rows
     ends = spark.createDataFrame(stretches or [(-1, 0, 0)], "old_shard int, end long, shard int").groupBy("old_shard").agg(F.array_sort(F.collect_list(F.struct("end", "shard"))).alias("ends"))
 
-    inside = Window.partitionBy("old_shard", "kind", "block").orderBy(F.desc("size"), "digest", F.col("doc_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    block = Window.partitionBy("old_shard", "kind", "block")
+    in_order = [F.desc("size"), F.col("digest"), F.col("doc_id").asc_nulls_last()]
     weight = F.col("size") * F.col("rows")
-    placed = units.join(blocks.drop("bytes"), ["old_shard", "kind", "block"]).withColumn("middle", F.col("block_start") + F.coalesce(F.sum(weight).over(inside), F.lit(0)) + weight / 2)
+    own_end = F.sum(weight).over(block.orderBy(*in_order).rowsBetween(Window.unboundedPreceding, 0))
+    group_end = F.sum(weight).over(block.orderBy(*in_order[:2]).rangeBetween(Window.unboundedPreceding, 0))
+    group = F.sum(weight).over(Window.partitionBy("old_shard", "kind", "block", "size", "digest"))
+    whole = F.col("crowd").isNull() & (F.col("group") <= max(1, min(room) // GROUP_SHARE))
+    placed = units.join(blocks.drop("bytes"), ["old_shard", "kind", "block"]).withColumns({"own_end": own_end, "group_end": group_end, "group": group})
+    placed = placed.withColumn("middle", F.col("block_start") + F.when(whole, F.col("group_end") - F.col("group") / 2).otherwise(F.col("own_end") - weight / 2))
     placed = placed.join(F.broadcast(ends), "old_shard")
     target = F.coalesce(F.try_element_at(F.filter("ends", lambda e: F.col("middle") < e["end"]), F.lit(1)), F.element_at("ends", -1))["shard"]
     placed = landed(placed.select("doc_id", "digest", "rows", "size", "text_crc32", "old_shard", "kind", "block", target.alias("shard")), "shard-places")
@@ -131,7 +149,7 @@ def plan(docs: DataFrame, shards: int = SHARDS, old_shard=None, capacity: list[i
     pieces = placed.groupBy(*piece).agg(F.sum("rows").alias("n"))
     earlier = Window.partitionBy("shard").orderBy("old_shard", "kind", "block").rowsBetween(Window.unboundedPreceding, -1)
     starts = pieces.select(*piece, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    nth = Window.partitionBy(*piece).orderBy(F.desc("size"), "digest", F.col("doc_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    nth = Window.partitionBy(*piece).orderBy(*in_order).rowsBetween(Window.unboundedPreceding, -1)
     slot = (F.col("start") + F.coalesce(F.sum("rows").over(nth), F.lit(0))).cast("long").alias("slot")
     return placed.join(starts, piece).select("doc_id", "digest", "rows", "size", "text_crc32", "old_shard", "shard", slot)
 

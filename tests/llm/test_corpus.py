@@ -434,6 +434,21 @@ def test_resharding(spark, odd, clashing, none, monkeypatch):
     assert spark.read.parquet(path).count() == full.where(F.col("shard").isin(resharding.affected(full))).count()
 
 
+def test_equal_texts_share_a_shard(spark):
+    rng = random.Random(13)
+    texts = ["same" * rng.randint(1, 60) + str(rng.randint(0, 300)) for _ in range(300)]
+    rows = [(i, texts[i % 300], None, None, None) for i in range(1500)] + [(2000 + i, "crowd " * 40, None, None, None) for i in range(1500)]
+    planned = resharding.plan(docs_of(spark, rows), 5).collect()
+    sizes = [sum(r["size"] for r in planned if r.shard == s) for s in range(5)]
+    share = sum(sizes) / 5
+    assert all(abs(s - share) <= 2 * share / resharding.GROUP_SHARE + 1000 for s in sizes)
+    shards = {}
+    for r in planned:
+        shards.setdefault(r.digest, set()).add(r.shard)
+    crowd = next(r.digest for r in planned if r.doc_id == 2000)
+    assert len(shards.pop(crowd)) > 1 and all(len(s) == 1 for s in shards.values())
+
+
 # --- 10
 
 
