@@ -301,11 +301,13 @@ def lookahead_select(level1: DataFrame, level2: DataFrame, budget: int = 32, bet
     ``level1``: prompt_id, ord (from 0), text, logprob, reward.  ``level2``: prompt_id,
     parent_ord, logprob (of the whole path), reward, for the children that were expanded.
     Only the first ``budget`` children are visited; a visited child is worth the best total
-    below it, or its own total if there is nothing below.
+    below it, or its own total if there is nothing below.  A missing log-probability counts
+    as 0, a missing reward is an error.
     """
     if budget < 1:
         raise ValueError("budget must be at least 1")
-    total = F.col("logprob") + F.lit(float(beta)) * F.col("reward")
+    reward = F.coalesce("reward", F.raise_error(F.lit("a candidate has no score")).cast("double"))
+    total = F.coalesce("logprob", F.lit(0.0)) + F.lit(float(beta)) * reward
     below = level2.groupBy("prompt_id", F.col("parent_ord").alias("ord")).agg(
         F.max(total).alias("best_below"), F.count(F.lit(1)).alias("calls_below")
     )
@@ -326,9 +328,14 @@ def lookahead_select(level1: DataFrame, level2: DataFrame, budget: int = 32, bet
 def lookahead(
     prompts: DataFrame, expander: Expander, scorer: Scorer, expansions: int = 4, budget: int = 32, beta: float = 1.0
 ) -> DataFrame:
-    """Two-level lookahead for all prompts; a prompt without continuations gets an empty answer."""
+    """Two-level lookahead for all prompts; a prompt without continuations gets an empty answer.
+
+    The first level is checkpointed: the second one hangs below the very children it holds,
+    and the generator is asked once for them.
+    """
     if expansions < 1:
         raise ValueError("expansions must be at least 1")
+    ensure_checkpoint_dir(prompts.sparkSession)
     roots = prompts.select(F.col("prompt_id").cast("string").alias("prompt_id"), "prompt", F.lit("").alias("prefix"))
     children = expander(roots, expansions).where(F.col("cand_text").isNotNull()).select(
         "prompt_id",
@@ -336,16 +343,16 @@ def lookahead(
         F.col("cand_ord").alias("ord"),
         F.col("cand_text").alias("text"),
         F.col("cand_logprob").alias("logprob"),
-        F.col("cand_complete").alias("is_complete"),
+        F.coalesce("cand_complete", F.lit(False)).alias("is_complete"),
         scorer(F.col("prompt"), F.col("cand_text")).alias("reward"),
-    )
+    ).checkpoint()
     visited = children.where(~F.col("is_complete") & (F.col("ord") < budget)).select(
         "prompt_id", "prompt", "ord", F.col("text").alias("prefix"), F.col("logprob").alias("path_logprob")
     )
     below = expander(visited, expansions).where(F.col("cand_text").isNotNull()).select(
         "prompt_id",
         F.col("ord").alias("parent_ord"),
-        (F.col("path_logprob") + F.col("cand_logprob")).alias("logprob"),
+        (F.coalesce("path_logprob", F.lit(0.0)) + F.coalesce("cand_logprob", F.lit(0.0))).alias("logprob"),
         scorer(F.col("prompt"), F.concat("prefix", "cand_text")).alias("reward"),
     )
     chosen = lookahead_select(children, below, budget, beta)

@@ -148,6 +148,32 @@ def test_lookahead_equals_the_visit_by_visit_search(spark):
             assert got[name]["verifier_call_count"] == calls
 
 
+def test_lookahead_asks_once_for_each_level(spark, tmp_path):
+    """A call for each prompt and one for each open child, whatever the plan reads twice."""
+    log = str(tmp_path / "calls")
+
+    class Client:
+        def expand(self, prompt, prefix, count):
+            with open(log, "a") as out:
+                out.write(f"{prompt}|{prefix}\n")
+            return [(f"{prefix} open", -1.0, False), (f"{prefix} ended", None, True), (f"{prefix} unknown", -2.0, None)]
+
+    found = rows(selection.lookahead(prompts(spark, 3), selection.client_expander(Client), rule_scorer(["ended"], []), beta=2.0))
+    assert len(found) == 3 and all(r["verifier_call_count"] == 9 for r in found)
+    with open(log) as calls:
+        asked = calls.read().splitlines()
+    assert len(asked) == 3 + 3 * 2 and len(set(asked)) == len(asked)
+
+
+def test_lookahead_missing_numbers(spark):
+    first = spark.createDataFrame([("p0", 0, "a", None, 3.0), ("p0", 1, "b", -1.0, 1.0)], "prompt_id STRING, ord INT, text STRING, logprob DOUBLE, reward DOUBLE")
+    below = spark.createDataFrame([], "prompt_id STRING, parent_ord INT, logprob DOUBLE, reward DOUBLE")
+    (row,) = rows(selection.lookahead_select(first, below))
+    assert (row["final_answer"], row["final_score"]) == ("a", 3.0)
+    with pytest.raises(Exception, match="no score"):
+        rows(selection.lookahead_select(first.withColumn("reward", F.lit(None).cast("double")), below))
+
+
 def test_no_continuations_and_bad_settings(spark):
     empty = selection.scripted_expander(spark.createDataFrame([], SCRIPT))
     (row,) = rows(selection.beam(prompts(spark), empty, rule_scorer(), max_steps=2))
