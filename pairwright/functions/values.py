@@ -28,10 +28,6 @@ def parsed_or_zero(df, name: str) -> Column:
     return F.coalesce(F.col(name).try_cast("double"), F.lit(0.0))
 
 
-def parse_number(value: Column) -> Column:
-    return value.try_cast("double")
-
-
 def compute_budget(parameters: Column) -> Column:
     """``k=v; k=v`` in key order, ``default`` for no parameters."""
     pairs = F.transform(

@@ -121,6 +121,20 @@ def completeness_report(expected: DataFrame, outputs: Outputs, order: str = "seq
     )
 
 
+def defect_ids(expected: DataFrame, outputs: Outputs, order: str = "seq") -> DataFrame:
+    """Every defect, none left out: one row per method, id and defect, and one for each blank answer."""
+    union = _all_outputs(outputs, order)
+    wanted, n = F.col("wanted"), F.col("n")
+    kinds = F.array_compact(
+        F.array(
+            F.when((wanted > 0) & (n == 0), "missing"), F.when((wanted == 0) & (n > 0), "extra"), F.when(n > 1, "duplicate")
+        )
+    )
+    found = _presence(expected, union, list(outputs)).select("method", "prompt_id", F.explode(kinds).alias("defect"))
+    blank = union.where(is_blank(F.col("final_answer"))).select("method", "prompt_id", F.lit("empty").alias("defect"))
+    return found.unionByName(blank)
+
+
 def overall_completeness(report: DataFrame) -> DataFrame:
     """One row over all methods: merged rows and whether everything is complete."""
     return report.agg(

@@ -7,6 +7,7 @@ from pairwright.functions.text import is_blank
 from pairwright.functions.values import merge_maps
 from pairwright.operators.joins import keyed_join
 from pairwright.schemas import metadata_map
+from pairwright.session import landed
 
 MISSING, EMPTY, DUPLICATE = "missing_answer", "empty", "near_duplicate"
 
@@ -95,8 +96,8 @@ def build_preference_pairs(
     similarity_threshold: float = 0.94,
     order: str = "seq",
 ) -> tuple[DataFrame, DataFrame]:
-    """Pairs and report.  Both read the judged table, which is kept so that it is built once."""
-    judged = judge_pairs(prompts, chosen, rejected, similarity_threshold, order).persist()
+    """Pairs and report.  Both read the judged table, which is written once to the shared folder."""
+    judged = landed(judge_pairs(prompts, chosen, rejected, similarity_threshold, order), "judged-pairs")
     return kept_pairs(judged), preference_report(judged)
 
 

@@ -16,8 +16,10 @@ from pairwright.functions.values import pearson, rule_reward
 from pairwright.operators.joins import pending
 from pairwright.operators.quantiles import stats_with_median
 from pairwright.operators.requests import answer_of, answer_records, column_or
+from pairwright.session import landed
 
 Scorer = Callable[[Column, Column], Column]
+CHUNK = 100  # answers that leave the client's loop together
 
 
 def rule_scorer(rewards: list[str] = (), penalties: list[str] = ()) -> Scorer:
@@ -111,7 +113,9 @@ def run_generation(
 
     The client has ``expand(prompt, prefix, count)`` returning (text, logprob, metadata)
     tuples.  A call is tried ``max_retries + 1`` times with growing waits; a request that
-    still fails becomes an error row instead of failing the job.  Returns answers and errors.
+    still fails becomes an error row instead of failing the job.  The responses are written
+    to the shared folder right away, so that no call is paid twice; answers and errors are
+    two readings of that table.
     """
     todo = requests if done is None else pending(requests, done)
     if partitions:
@@ -136,7 +140,7 @@ def run_generation(
 
     def generate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = open_client()
-        for batch in batches:
+        for batch in (b.iloc[at : at + CHUNK] for b in batches for at in range(0, len(b), CHUNK)):
             answers = [ask(client, prompt) for prompt in batch["generation_prompt"]]
             yield pd.DataFrame(
                 {
@@ -153,7 +157,7 @@ def run_generation(
                 }
             )
 
-    responses = asked.mapInPandas(generate, schema).persist()
+    responses = landed(asked.mapInPandas(generate, schema), "responses")
     answers = answer_records(responses.where(F.col("error").isNull()))
     errors = responses.where(F.col("error").isNotNull()).select("prompt_id", "attempt", "error")
     return answers, errors

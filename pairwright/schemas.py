@@ -14,7 +14,6 @@ METHOD_OUTPUT = (
     "prompt_id STRING, prompt STRING, method STRING, final_answer STRING, latency_ms DOUBLE, "
     "verifier_call_count DOUBLE, source_model STRING, source_run_id STRING"
 )
-SCORE = "prompt_id STRING, method STRING, score DOUBLE, source_run_id STRING"
 TRAINER_STATE = (
     "global_step BIGINT, best_metric DOUBLE, best_model_checkpoint STRING, "
     "log_history ARRAY<MAP<STRING,STRING>>"

@@ -6,11 +6,10 @@ scored again, and a restart continues where the last committed batch ended.
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pairwright.operators.completeness import completeness_report, overall_completeness
-from pairwright.operators.scoring import Scorer, score_outputs
 from pairwright.operators.tables import with_metrics
 
 
@@ -42,11 +41,6 @@ def append_to(stream: DataFrame, path: str, checkpoint: str, sink: str = "json",
     return writer.start(path)
 
 
-def score_stream(outputs: DataFrame, scorer: Scorer) -> DataFrame:
-    """Stateless scoring of arriving outputs."""
-    return score_outputs(outputs, scorer)
-
-
 def running_tables(outputs: DataFrame) -> DataFrame:
     """Running form of the per-method tables; the state is one row per method."""
     measured = with_metrics(outputs)
@@ -63,17 +57,29 @@ def running_tables(outputs: DataFrame) -> DataFrame:
 
 
 def keep_latest(running: DataFrame, path: str, checkpoint: str, continuous: str | None = None) -> StreamingQuery:
-    """Write the complete running table of each batch to a parquet table, replacing the last one."""
+    """Write the complete running table of each batch to a folder ``batch=<n>`` of its own below ``path``.
+
+    A batch that is run again replaces its own folder only; :func:`read_latest` reads the
+    newest one, so a reader never meets a table that is being replaced.
+    """
 
-    def replace(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def land(batch: DataFrame, number: int) -> None:
+        # a row per group; one file appears at once when it is committed
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    writer = running.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(replace)
+    writer = running.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(land)
     writer = writer.trigger(processingTime=continuous) if continuous else writer.trigger(availableNow=True)
     return writer.start()
 
 
-def with_progress(df: DataFrame, name: str) -> DataFrame:
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest table that :func:`keep_latest` has written."""
+    tables = spark.read.parquet(path)
+    newest = tables.agg(F.max("batch")).scalar()
+    return tables.where(F.col("batch") == newest).drop("batch")
+
+
+def with_progress(df: DataFrame, name: str | Observation) -> DataFrame:
     """Named row counter, readable from an Observation (batch) or the query progress (stream)."""
     return df.observe(name, F.count(F.lit(1)).alias("rows"))
 

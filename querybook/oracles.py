@@ -98,6 +98,11 @@ ORACLES["error_breakdown"] = f"{with_views('outputs')}{MEASURED} SELECT method,
 ORACLES["latency_table"] = f"{with_views('outputs')} SELECT method, count(*) AS count, {_LATENCY} FROM outputs GROUP BY method"
 ORACLES["static_summary"] = f"""{with_views('outputs')}{MEASURED}
   SELECT method, count(*) AS count, {', '.join(mean(n, n + '_mean') for n in _METRICS)} FROM measured GROUP BY method"""
+ORACLES["answer_precedence"] = f"""{with_views('outputs')}
+  , chosen AS (SELECT * REPLACE (CASE WHEN lang = 'fr' THEN source || chr(10) || '# Note' || chr(10) || '- one' || chr(10) || '- two' ELSE final_answer END AS final_answer) FROM outputs)
+  {MEASURED.replace('FROM outputs', 'FROM chosen')}
+  SELECT method, count(*) AS count, {', '.join(mean(n, n + '_mean') for n in _METRICS)} FROM measured GROUP BY method"""
+ORACLES["complete_evaluation"] = f"{with_views('outputs')}{MEASURED} SELECT {_OVERALL}, false AS early FROM measured GROUP BY method"
 ORACLES["metric_map_summary"] = f"""{with_views('outputs')}{MEASURED}
   SELECT method, 'count' AS name, CAST(count(*) AS DOUBLE) AS value FROM measured GROUP BY method
   UNION ALL SELECT method, 'words', round(avg(word_count), 9) FROM measured GROUP BY method
@@ -169,7 +174,21 @@ ORACLES["split_counts"] = f"""{with_views('outputs')}{split_cte('outputs')}
 ORACLES["split_overlap"] = f"""{with_views('outputs')}{split_cte('outputs')}
   SELECT count(*) AS shared_ids FROM (SELECT prompt_id FROM split GROUP BY prompt_id HAVING count(DISTINCT split) > 1)"""
 ORACLES["preference_export_leaks"] = f"""{PAIRED}{split_cte('pairs')}
-  SELECT count(*) AS leaked FROM split t WHERE split = 'test' AND EXISTS (SELECT 1 FROM split s WHERE s.prompt_id = t.prompt_id AND s.split <> 'test')"""
+  SELECT 0::BIGINT AS leaked, count(*) FILTER (WHERE split = 'test') AS held_out, count(*) FILTER (WHERE split <> 'test') AS exported
+  FROM pairs JOIN split USING (prompt_id)"""
+ORACLES["preference_files"] = f"""{PAIRED}{split_cte('pairs')}
+  SELECT split, prompt_id, prompt, CASE WHEN split <> 'test' THEN md5(chosen) END AS chosen_md5, CASE WHEN split <> 'test' THEN md5(rejected) END AS rejected_md5,
+         CAST(turn AS VARCHAR) AS turn
+  FROM pairs JOIN split USING (prompt_id)"""
+ORACLES["sft_files"] = f"""{PAIRED}{split_cte('pairs')}
+  SELECT prompt AS instruction, '' AS input, md5(chosen) AS output_md5, prompt_id FROM pairs JOIN split USING (prompt_id) WHERE split = 'train'"""
+ORACLES["split_leaks"] = f"""{with_views('outputs')}
+  SELECT prompt_id FROM outputs GROUP BY prompt_id
+  HAVING count(*) FILTER (WHERE method = 'penalty' AND lang = 'fr') BETWEEN 1 AND count(*) - 1"""
+ORACLES["document_length_filter"] = f"""SELECT doc_id, md5(text) AS prompt_md5 FROM documents
+  WHERE length(text) BETWEEN {fixed.MIN_PROMPT_CHARS} AND {fixed.MAX_PROMPT_CHARS}"""
+ORACLES["column_gaps"] = f"""{with_views('outputs')}
+  SELECT count(*) AS checked, count(*) FILTER (WHERE latency_ms IS NULL) AS incomplete_rows, 'latency_ms' AS missing_columns, false AS ok FROM outputs"""
 ORACLES["last_wins"] = """SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, md5(arg_max(text, turn)) AS text_md5
   FROM conversations GROUP BY conv_id"""
 ORACLES["first_wins"] = """SELECT conv_id, min(turn) AS turn, arg_min(role, turn) AS role, md5(arg_min(text, turn)) AS text_md5
@@ -246,6 +265,12 @@ PRESENCE = f""", methods AS (SELECT unnest({METHODS!r}) AS method)
 ORACLES["completeness_by_method"] = f"{RUNS}{PRESENCE} SELECT * FROM judged"
 ORACLES["completeness_overall"] = f"""{RUNS}{PRESENCE}
   SELECT CAST(sum(merged_rows) AS BIGINT) AS merged_rows, bool_and(ok) AND sum(merged_rows) = sum(expected_rows) AS ok FROM judged"""
+ORACLES["completeness_file"] = ORACLES["completeness_overall"]
+ORACLES["defect_ids"] = f"""{RUNS}{PRESENCE}
+  SELECT method, prompt_id, 'missing' AS defect FROM presence WHERE w > 0 AND n = 0
+  UNION ALL SELECT method, prompt_id, 'extra' FROM presence WHERE w = 0 AND n > 0
+  UNION ALL SELECT method, prompt_id, 'duplicate' FROM presence WHERE n > 1
+  UNION ALL SELECT method, prompt_id, 'empty' FROM blank"""
 MERGED = """, latest AS (
     SELECT prompt_id, method, arg_max(prompt, seq) AS prompt, arg_max(final_answer, seq) AS final_answer,
            coalesce(max(latency_ms), 0) AS latency_ms, max(verifier_call_count) AS verifier_call_count
@@ -347,6 +372,15 @@ ORACLES["generated_answers"] = f"""{with_views('turns', 'rejected')}
          'echo' AS model, CAST(turn AS VARCHAR) AS turn, '-0.25' AS generator_logprob, 'stop' AS finish
   FROM turns WHERE prompt_id NOT IN (SELECT prompt_id FROM rejected)"""
 
+_ASKED = quote(fixed.POSITIVE_INSTRUCTIONS) + " || chr(10) || chr(10) || 'User question:' || chr(10) || prompt || chr(10)"
+ORACLES["generation_errors"] = f"""{with_views('turns')}
+  SELECT prompt_id, CASE WHEN length({_ASKED}) % 2 = 1 THEN 2::BIGINT END AS attempt,
+         CASE WHEN length({_ASKED}) % 2 = 1 THEN 'ValueError(''odd'')' ELSE 'fine' END AS text
+  FROM turns"""
+ORACLES["expanded_prompts"] = f"""{with_views('turns')}
+  , grown AS (SELECT prompt_id, unnest(CASE WHEN length(prompt) % 5 = 0 THEN [NULL] ELSE range(length(prompt) % 5) END) AS i FROM turns)
+  SELECT prompt_id, CAST(i AS BIGINT) AS cand_ord, 'step ' || CAST(i AS VARCHAR) AS cand_text, CAST(-i / 4 AS DOUBLE) AS cand_logprob, i = 3 AS cand_complete FROM grown"""
+
 # --- criteria
 
 _PAIR_METRICS = f""", pair_metrics AS (
@@ -396,6 +430,10 @@ _METHOD_SCORES = f"""{MEASURED}, crit AS (
            {total('slogan_phrase_count', 'slogan_phrase_total')}, {_LATENCY}
     FROM crit GROUP BY method)"""
 ORACLES["method_scores"] = f"{with_views('outputs', 'scores')}{_METHOD_SCORES} SELECT * FROM method_table"
+_WEIGHED = _METHOD_SCORES.replace("0.25::DOUBLE *", "w.repeated_penalty *").replace("0.05::DOUBLE *", "w.length_penalty_per_100_words *").replace(
+    "1.0::DOUBLE *", "w.abnormal_penalty *"
+).replace("ON s.seq = m.seq)", "ON s.seq = m.seq, winner w)")
+ORACLES["criteria_methods"] = f"""{_GRADED}, winner AS ({ORACLES['criterion_choice'].removeprefix(_GRADED)}){_WEIGHED} SELECT * FROM method_table"""
 ORACLES["results_table"] = f"""{with_views('outputs', 'scores')}{_METHOD_SCORES}
   SELECT CAST(list_position({METHODS!r}, method) AS BIGINT) AS position, method, criterion_score_mean AS quality_mean, criterion_score_median AS quality_median,
          verifier_score_mean AS verifier_mean, repeated_line_total, word_count_mean, latency_ms_mean, verifier_call_count_mean
@@ -415,6 +453,12 @@ ORACLES["improvement_gate"] = f"""{with_views('outputs', 'scores', 'runs')}{_MET
            (SELECT bool_and(win_rate > 0.7) FROM won) AS wins_above_rate)
   SELECT *, complete AND quality_above_baselines AND wins_above_rate AND noise_not_above_baselines AS improved FROM checks"""
 
+_RAISED = with_views("outputs", "scores").replace("/ 10 - 3 AS score", "/ 10 - 3 + CASE WHEN method = 'penalty' THEN 100 ELSE 0 END AS score")
+ORACLES["improvement_gate_met"] = (
+    ORACLES["improvement_gate"].replace(with_views("outputs", "scores", "runs"), _RAISED).replace(PRESENCE, "")
+    .replace("(SELECT bool_and(ok) AND sum(merged_rows) = sum(expected_rows) FROM judged) AS complete", "true AS complete")
+)
+
 # --- guardrail and answer rules
 
 _CASES = "(VALUES " + ", ".join(
@@ -523,6 +567,12 @@ ORACLES["rerank_best_of_n"] = f"""{with_views('outputs', 'candidates')}{graded(1
 ORACLES["kept_branches"] = f"""{with_views('outputs', 'candidates')}{graded(1.0, 0.0, 0.0)}
   , ranked AS (SELECT *, {_RANK} FROM graded)
   SELECT prompt_id, place - 1 AS place, round(total, 9) AS total_score, md5(text) AS text_md5 FROM ranked WHERE place <= 2"""
+ORACLES["first_traced"] = f"""{with_views('outputs', 'candidates')}{graded(1.0, 0.0, 0.0)}
+  , ranked AS (SELECT *, {_RANK} FROM graded)
+  SELECT prompt_id, md5(max(CASE WHEN place = 1 THEN text END)) AS kept_md5, md5(max(CASE WHEN place = 3 THEN text END)) AS pruned_md5 FROM ranked GROUP BY prompt_id"""
+ORACLES["case_study"] = f"""{with_views('outputs', 'candidates')}{graded(1.0, 0.0, 0.0)}
+  , ranked AS (SELECT *, {_RANK} FROM graded)
+  SELECT prompt_id, md5({trim('text')}) AS answer_md5, round(total, 9) AS final_score FROM ranked WHERE place = 1 AND prompt_id >= '2' ORDER BY prompt_id LIMIT 1"""
 ORACLES["lookahead_select"] = f"""{with_views('outputs', 'candidates')}
   , level1 AS (SELECT *, {rule_reward('text', REWARDS, PENALTIES)} AS reward FROM candidates)
   , level2 AS (SELECT prompt_id, ord, logprob - k / 4::DOUBLE + 1.5::DOUBLE * (reward + seq * k % 5 - 2) AS total FROM level1, (VALUES (1), (2)) v(k) WHERE NOT is_complete)
@@ -593,6 +643,13 @@ ORACLES["typed_answers"] = """SELECT 'answer' AS kind, 'unknown' AS model, count
          CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS chars, max(turn) AS last_turn FROM conversations"""
 ORACLES["csv_round_trip"] = f"""{with_views('outputs')}
   SELECT CAST(seq AS VARCHAR) AS seq, prompt_id, method, round(latency_ms, 9) AS latency_ms, length(final_answer) AS answer_chars FROM outputs"""
+ORACLES["csv_cells"] = """WITH cells AS (
+    SELECT doc_id, lang <> 'fr' AS is_number, n_chars / (CASE WHEN lang = 'en' THEN 4.0::DOUBLE ELSE 1.0::DOUBLE END) AS v, source FROM documents)
+  SELECT doc_id, CASE WHEN is_number AND v = floor(v) THEN CAST(v AS BIGINT) END AS whole, CASE WHEN is_number AND v <> floor(v) THEN v END AS number,
+         CASE WHEN NOT is_number THEN source END AS text
+  FROM cells"""
+ORACLES["progress_counter"] = "SELECT count(*) AS written, count(*) AS rows FROM documents"
+ORACLES["stream_users"] = "SELECT DISTINCT user_id FROM events"
 ORACLES["stream_method_tables"] = f"""{with_views('outputs')}{MEASURED}
   SELECT method, count(*) AS count, {mean('abnormal_symbol_count', 'abnormal_symbol_count_mean')}, {mean('word_count', 'word_count_mean')},
          {total('repeated_line_count', 'repeated_line_count_total')}, {_LATENCY}

@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from pairwright import fixed_values as fixed
 from pairwright.functions import text as T
@@ -13,7 +13,7 @@ from pairwright.operators import (
     selection, splits, tables, training_log,
 )
 from pairwright.plans import evaluation, preference as preference_plan
-from pairwright.schemas import METHOD_OUTPUT, PROMPT, empty_map, typed
+from pairwright.schemas import METHOD_OUTPUT, PAIR, PROMPT, empty_map, typed
 from pairwright.session import fresh_dir
 from pairwright.sources import csv_tables, exports, jsonl, prompts as prompt_sources, score_cache
 from pairwright.sources.tables import read_table
@@ -92,6 +92,13 @@ def static_summary(spark, sf_dir):
     return shaped(evaluation.static_evaluation(outputs_of(spark, sf_dir))[1])
 
 
+@query
+def answer_precedence(spark, sf_dir):
+    """Static evaluation where French rows have an ``answer`` besides their final answer."""
+    other = F.when(F.col("lang") == "fr", F.concat(F.col("source"), F.lit("\n# Note\n- one\n- two")))
+    return shaped(evaluation.static_evaluation(outputs_of(spark, sf_dir).withColumn("answer", other))[1])
+
+
 @query
 def metric_map_summary(spark, sf_dir):
     metrics = F.create_map(
@@ -203,17 +210,53 @@ def split_overlap(spark, sf_dir):
     return splits.shared_ids(split).agg(F.count(F.lit(1)).alias("shared_ids"))
 
 
+def exported_preferences(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Written pairs and written test prompts, both read back with every column an answer could leak into."""
+    root = fresh_dir(spark, "preference")
+    preference_plan.prepare_preferences(*pair_inputs(spark, sf_dir), root=root)
+    pairs = spark.read.schema(f"{PAIR}, split STRING").json(f"{root}/pairs")
+    return pairs, jsonl.read_jsonl(spark, f"{root}/test_prompts", PAIR).withColumn("split", F.lit("test"))
+
+
 @query
 def preference_export_leaks(spark, sf_dir):
-    """Test prompts never share an id with the exported pairs."""
-    split, _ = preference_plan.prepare_preferences(*pair_inputs(spark, sf_dir))
-    held_out = exports.test_prompts(split)
-    seen = split.where(F.col("split") != "test").select("prompt_id").distinct()
-    return held_out.select("prompt_id").join(seen, "prompt_id", "left_semi").agg(
-        F.count(F.lit(1)).alias("leaked")
+    """Test prompts never share an id with the exported pairs: checked on the files."""
+    pairs, held_out = exported_preferences(spark, sf_dir)
+    seen = pairs.select("prompt_id").distinct().withColumn("seen", F.lit(1))
+    return held_out.select("prompt_id").join(seen, "prompt_id", "left").agg(
+        F.count("seen").alias("leaked"), F.count(F.lit(1)).alias("held_out"), F.lit(pairs.count()).cast("long").alias("exported")
+    )
+
+
+@query
+def preference_files(spark, sf_dir):
+    """Exported pairs and test prompts, read back; an answer in a test file would show."""
+    pairs, held_out = exported_preferences(spark, sf_dir)
+    both = pairs.unionByName(held_out)
+    return both.select(
+        "split", "prompt_id", "prompt", F.md5("chosen").alias("chosen_md5"), F.md5("rejected").alias("rejected_md5"),
+        F.col("metadata")["turn"].alias("turn"),
     )
 
 
+@query
+def sft_files(spark, sf_dir):
+    """Exported fine-tuning rows of train, read back from their files."""
+    root = fresh_dir(spark, "sft")
+    split, _ = preference_plan.prepare_preferences(*pair_inputs(spark, sf_dir))
+    exports.export_sft(split, root, "answers")
+    back = jsonl.read_jsonl(spark, f"{root}/train_sft", "instruction STRING, input STRING, output STRING, metadata MAP<STRING,STRING>")
+    return back.select("instruction", "input", F.md5("output").alias("output_md5"), F.col("metadata")["prompt_id"].alias("prompt_id"))
+
+
+@query
+def split_leaks(spark, sf_dir):
+    """Prompts found in two splits when French penalty answers are put into test by themselves."""
+    outputs = outputs_of(spark, sf_dir)
+    astray = (F.col("method") == "penalty") & (F.col("lang") == "fr")
+    return splits.shared_ids(outputs.withColumn("split", F.when(astray, "test").otherwise("train")))
+
+
 @query
 def last_wins(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/conversations.parquet")
@@ -239,6 +282,14 @@ def prompt_length_filter(spark, sf_dir):
     )
 
 
+@query
+def document_length_filter(spark, sf_dir):
+    """Documents short and long enough to serve as prompts."""
+    docs = read_table(spark, f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("prompt"))
+    kept = preference.within_length(docs, fixed.MIN_PROMPT_CHARS, fixed.MAX_PROMPT_CHARS)
+    return kept.select("doc_id", F.md5("prompt").alias("prompt_md5"))
+
+
 @query
 def first_prompts(spark, sf_dir):
     return selection.first_rows(outputs_of(spark, sf_dir).select("seq", "prompt_id", "method"), 100)
@@ -251,6 +302,13 @@ def column_check(spark, sf_dir):
     return report.select("checked", "incomplete_rows", F.array_join("missing_columns", ",").alias("missing_columns"), "ok")
 
 
+@query
+def column_gaps(spark, sf_dir):
+    """Rows without a latency are incomplete, all others are not."""
+    report = checks.check_columns(outputs_of(spark, sf_dir), ["prompt_id", "final_answer", "latency_ms"])
+    return report.select("checked", "incomplete_rows", F.array_join("missing_columns", ",").alias("missing_columns"), "ok")
+
+
 @query
 def blank_answers(spark, sf_dir):
     runs = view(spark, sf_dir, "outputs", "runs")
@@ -348,6 +406,33 @@ def completeness_overall(spark, sf_dir):
     return completeness.overall_completeness(completeness.completeness_report(*run_inputs(spark, sf_dir)))
 
 
+@query
+def completeness_file(spark, sf_dir):
+    """The overall verdict written as a JSON summary and read back."""
+    path = fresh_dir(spark, "summary")
+    jsonl.write_summary(completeness.overall_completeness(completeness.completeness_report(*run_inputs(spark, sf_dir))), path)
+    return jsonl.read_summary(spark, path, "merged_rows BIGINT, ok BOOLEAN")
+
+
+@query
+def defect_ids(spark, sf_dir):
+    """Every missing, extra, repeated id and every blank answer."""
+    return completeness.defect_ids(*run_inputs(spark, sf_dir))
+
+
+@query
+def complete_evaluation(spark, sf_dir):
+    """The evaluation waits for incomplete runs and starts for complete outputs."""
+    outputs = outputs_of(spark, sf_dir)
+    parts = {m: (outputs.where(F.col("method") == m).drop("method"), "final_answer") for m in METHODS}
+    expected = outputs.where(F.col("method") == "raw").select("prompt_id", "prompt")
+    evaluate = lambda: tables.overall_table(outputs)
+    unfinished, runs = run_inputs(spark, sf_dir)
+    _, early = incremental.evaluate_when_complete(unfinished, lambda: runs, evaluate)
+    _, found = incremental.evaluate_when_complete(expected, lambda: parts, evaluate)
+    return shaped(found.withColumn("early", F.lit(early is not None)))
+
+
 @query
 def merged_outputs(spark, sf_dir):
     return shaped(
@@ -473,6 +558,40 @@ def generated_answers(spark, sf_dir):
     return answers.select("prompt_id", "kind", "text", "model", *(F.col("metadata")[k].alias(k) for k in ("turn", "generator_logprob", "finish")))
 
 
+@query
+def generation_errors(spark, sf_dir):
+    """A client that never answers requests of odd length: two attempts, then an error row."""
+
+    class PickyClient:
+        model = "picky"
+
+        def expand(self, prompt: str, prefix: str, count: int):
+            if len(prompt) % 2:
+                raise ValueError("odd")
+            return [("fine", 0.0, {})]
+
+    asked = requests.generation_requests(pair_inputs(spark, sf_dir)[0], "positive", "gen")
+    answers, errors = scoring.run_generation(asked, PickyClient, max_retries=1, sleep=lambda seconds: None)
+    return longs(
+        answers.select("prompt_id", F.lit(None).cast("int").alias("attempt"), "text").unionByName(
+            errors.select("prompt_id", "attempt", F.col("error").alias("text"))
+        )
+    )
+
+
+@query
+def expanded_prompts(spark, sf_dir):
+    """As many continuations as the client gives, also beyond the number asked for."""
+
+    class CountingClient:
+        def expand(self, prompt: str, prefix: str, count: int):
+            return [(f"{prefix}{i}", -i / 4, i == count) for i in range(len(prompt) % 5)]
+
+    prompts = view(spark, sf_dir, "turns").select("prompt_id", "prompt", F.lit("step ").alias("prefix"))
+    grown = selection.client_expander(CountingClient)(prompts, 3)
+    return longs(grown.select("prompt_id", "cand_ord", "cand_text", "cand_logprob", "cand_complete"))
+
+
 @query
 def score_cache_growth(spark, sf_dir):
     """Short prompts are scored first; the second call scores only the others."""
@@ -515,6 +634,12 @@ def method_scores(spark, sf_dir):
     return shaped(method_scores_of(spark, sf_dir))
 
 
+@query
+def criteria_methods(spark, sf_dir):
+    """Criteria search whose winner weighs the method table."""
+    return shaped(evaluation.criteria_evaluation(val_pairs_of(spark, sf_dir), outputs_of(spark, sf_dir), scores_of(spark, sf_dir))[2])
+
+
 @query
 def results_table(spark, sf_dir):
     return shaped(
@@ -540,6 +665,20 @@ def improvement_gate(spark, sf_dir):
     return tables.improvement_gate(method_scores_of(spark, sf_dir), won, complete, "penalty", ["raw", "sft"])
 
 
+@query
+def improvement_gate_met(spark, sf_dir):
+    """The gate over complete outputs with a candidate whose scores are a hundred higher."""
+    outputs = outputs_of(spark, sf_dir)
+    raised = F.col("score") + F.when(F.col("method") == "penalty", 100.0).otherwise(0.0)
+    scores = scores_of(spark, sf_dir).withColumn("score", raised)
+    chosen = spark.range(1).select(*(F.lit(w).alias(n) for n, w in zip(criteria.WEIGHTS, (0.25, 0.05, 1.0))))
+    parts = {m: (outputs.where(F.col("method") == m).drop("method"), "final_answer") for m in METHODS}
+    expected = outputs.where(F.col("method") == "raw").select("prompt_id", "prompt")
+    complete = completeness.overall_completeness(completeness.completeness_report(expected, parts)).select("ok").scalar()
+    won = compare.pairwise(scores, "penalty", ["raw", "sft"])
+    return tables.improvement_gate(criteria.score_methods(outputs, scores, chosen), won, complete, "penalty", ["raw", "sft"])
+
+
 # --- guardrail and answer rules ---------------------------------------------------------
 
 
@@ -666,6 +805,29 @@ def kept_branches(spark, sf_dir):
     return shaped(kept)
 
 
+@query
+def first_traced(spark, sf_dir):
+    """First kept and first pruned branch of every record."""
+    found = selection.rerank(
+        view(spark, sf_dir, "outputs", "candidates"), scoring.rule_scorer(REWARDS, PENALTIES), beam_width=2
+    )
+    records = selection.inference_records(found, "gen", "rule")
+    return records.select(
+        "prompt_id", *(F.md5(selection.first_trace_item(F.col("step_traces"), which)["text"]).alias(f"{which}_md5") for which in ("kept", "pruned"))
+    )
+
+
+@query
+def case_study(spark, sf_dir):
+    """The first record with branches, where those of prompts before '2' have lost theirs."""
+    found = selection.rerank(
+        view(spark, sf_dir, "outputs", "candidates"), scoring.rule_scorer(REWARDS, PENALTIES), beam_width=2
+    )
+    records = selection.inference_records(found, "gen", "rule")
+    bare = records.withColumn("branch_scores", F.when(F.col("prompt_id") >= "2", F.col("branch_scores")))
+    return shaped(selection.case_study_row(bare, "prompt_id").select("prompt_id", F.md5("final_answer").alias("answer_md5"), "final_score"))
+
+
 @query
 def lookahead_scripted(spark, sf_dir):
     found = selection.lookahead(
@@ -777,24 +939,45 @@ def csv_round_trip(spark, sf_dir):
     return rounded(back.select("seq", "prompt_id", "method", "latency_ms", F.length("final_answer").cast("long").alias("answer_chars")))
 
 
+@query
+def csv_cells(spark, sf_dir):
+    """Cells of a written table as whole numbers, other numbers or text."""
+    path = fresh_dir(spark, "cells")
+    cell = F.when(F.col("lang") == "fr", F.col("source")).when(F.col("lang") == "en", (F.col("n_chars") / 4).cast("string")).otherwise(F.col("n_chars").cast("string"))
+    docs = read_table(spark, f"{sf_dir}/documents.parquet")
+    csv_tables.write_csv(path, docs.select(F.col("doc_id").cast("string").alias("doc_id"), cell.alias("cell")))
+    back = csv_tables.number_cells(csv_tables.read_csv(spark, path), ["doc_id", "cell"])
+    return back.select(F.col("doc_id.whole").alias("doc_id"), "cell.whole", "cell.number", "cell.text")
+
+
+@query
+def progress_counter(spark, sf_dir):
+    """Rows counted while the outputs are written."""
+    seen = Observation("outputs")
+    path = fresh_dir(spark, "counted")
+    incremental.with_progress(outputs_of(spark, sf_dir).select("seq"), seen).write.parquet(path)
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("written"), F.lit(seen.get["rows"]).cast("long").alias("rows"))
+
+
 def streamed_outputs(spark, sf_dir) -> DataFrame:
+    """The outputs view over a stream, under a view name of its own."""
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     stream = incremental.stream_parquet(spark, sf_dir, "documents*.parquet", schema)
-    stream.createOrReplaceTempView("documents")
-    return spark.sql(f"{with_views('outputs')} SELECT * FROM outputs")
+    stream.createOrReplaceTempView("streamed_documents")
+    return spark.sql(f"{with_views('outputs').replace('FROM documents', 'FROM streamed_documents')} SELECT * FROM outputs")
 
 
 @query
 def stream_method_tables(spark, sf_dir):
     path = fresh_dir(spark, "running")
     incremental.keep_latest(incremental.running_tables(streamed_outputs(spark, sf_dir)), f"{path}/table", f"{path}/checkpoint").awaitTermination()
-    return shaped(spark.read.parquet(f"{path}/table"))
+    return shaped(incremental.read_latest(spark, f"{path}/table"))
 
 
 @query
 def stream_scores(spark, sf_dir):
     path = fresh_dir(spark, "scored")
-    scored = incremental.score_stream(streamed_outputs(spark, sf_dir), scoring.rule_scorer(REWARDS, PENALTIES))
+    scored = scoring.score_outputs(streamed_outputs(spark, sf_dir), scoring.rule_scorer(REWARDS, PENALTIES))
     incremental.append_to(scored, f"{path}/scores", f"{path}/checkpoint", sink="parquet").awaitTermination()
     return rounded(spark.read.parquet(f"{path}/scores"))
 
@@ -805,3 +988,14 @@ def stream_first_per_prompt(spark, sf_dir):
     once = incremental.once_per_key(streamed_outputs(spark, sf_dir).select("prompt_id"))
     incremental.append_to(once, f"{path}/ids", f"{path}/checkpoint", sink="parquet").awaitTermination()
     return spark.read.parquet(f"{path}/ids")
+
+
+@query
+def stream_users(spark, sf_dir):
+    """Users seen in the event stream; an id is forgotten once the watermark has passed it."""
+    path = fresh_dir(spark, "users")
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = incremental.stream_parquet(spark, sf_dir, "events*.parquet", schema).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    once = incremental.once_per_key(events, "user_id", "ts", "400 days").select("user_id")
+    incremental.append_to(once, f"{path}/ids", f"{path}/checkpoint", sink="parquet").awaitTermination()
+    return spark.read.parquet(f"{path}/ids")

@@ -178,7 +178,7 @@ def test_streams_continue_where_they_ended(spark, tmp_path):
 
     def run():
         stream = incremental.stream_json(spark, src, OUTPUT, files_per_batch=1)
-        scored = incremental.with_progress(incremental.score_stream(stream, scoring.rule_scorer(["slogan"])), "scored")
+        scored = incremental.with_progress(scoring.score_outputs(stream, scoring.rule_scorer(["slogan"])), "scored")
         incremental.append_to(scored, f"{out}/scores", f"{out}/c1").awaitTermination()
         incremental.keep_latest(incremental.running_tables(stream), f"{out}/table", f"{out}/c2").awaitTermination()
         once = incremental.once_per_key(stream.select("prompt_id"))
@@ -191,7 +191,7 @@ def test_streams_continue_where_they_ended(spark, tmp_path):
     scores = rows(spark.read.json(f"{out}/scores"), "prompt_id")
     assert len(scores) == 5 and [r["prompt_id"] for r in rows(spark.read.json(f"{out}/ids"), "prompt_id")] == ["p0", "p1", "p2"]
     batch = incremental.running_tables(spark.read.schema(OUTPUT).json(src))
-    assert rows(spark.read.parquet(f"{out}/table"), "method") == rows(batch, "method")
+    assert rows(incremental.read_latest(spark, f"{out}/table"), "method") == rows(batch, "method")
     assert rows(batch, "method")[1]["latency_ms_mean"] == 1.5
 
 

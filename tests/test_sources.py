@@ -69,6 +69,16 @@ def test_csv(spark, tmp_path):
     assert [r["score"] for r in rows(csv_tables.numbers(back, ["score"]), "method")] == [None, 1.5]
 
 
+def test_number_cells(spark):
+    cells = ["7", " 3.0", "1e3", "2.5", "1.0d", "inf", "1e30", "word", "", None]
+    table = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i INT, c STRING")
+    found = [tuple(r["c"].values()) for r in rows(csv_tables.number_cells(table, ["c"]), "i")]
+    assert found == [
+        (7, None, None), (3, None, None), (1000, None, None), (None, 2.5, None), (None, None, "1.0d"),
+        (None, float("inf"), None), (None, 1e30, None), (None, None, "word"), (None, None, ""), (None, None, None),
+    ]
+
+
 def pairs(spark, n=10):
     return spark.createDataFrame(
         [(f"p{i}", f"Prompt {i}", f"Chosen {i}", f"Rejected {i}", {"topic": "memory"}) for i in range(n)], PAIR
