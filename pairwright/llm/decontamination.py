@@ -14,6 +14,7 @@ PIECE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x
 LEAD = r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW_WORDS = 10
 BROADCAST_WINDOWS = 1_000_000
+BROADCAST_BYTES = 128 << 20
 REPORT = ["n_words", "n_hit", "n_items", "item_ids", "contaminated"]
 
 
@@ -35,6 +36,12 @@ def windows(benchmark: DataFrame, n: int = WINDOW_WORDS) -> DataFrame:
     )
 
 
+def _held_bytes() -> Column:
+    """What a window takes in memory: its words and items, and what each of them costs besides."""
+    texts = F.octet_length(F.array_join("window", "")) + F.octet_length(F.array_join(F.col("items").cast("array<string>"), ""))
+    return (texts + 16 * (F.size("window") + F.size("items")) + 64).cast("long")
+
+
 def _covered(hits: Column) -> Column:
     """Words in the union of the hit windows."""
 
@@ -56,7 +63,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS,
     """
     sought = windows(benchmark, n)
     widths = [r.width for r in sought.select("width").distinct().sort("width").collect()]  # at most n numbers
-    small = sought.limit(broadcast_windows + 1).count() <= broadcast_windows
+    held = sought.agg(F.count(F.lit(1)).alias("rows"), F.sum(_held_bytes()).alias("bytes")).first()
+    small = held.rows <= broadcast_windows and (held.bytes or 0) <= BROADCAST_BYTES
     sought = sought.select("hash", F.col("width").alias("sought_width"), "window", "items")
 
     doc = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.monotonically_increasing_id().alias("row_id"), words(F.col("text")).alias("w"))
