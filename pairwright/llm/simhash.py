@@ -24,17 +24,24 @@ FLUSH_LINKS = 1 << 20
 QUARTERS, COUNTS = 4, 17  # counts of a quarter: 0 to 16
 
 
-def fingerprint(data: bytes | None, words: int = SHINGLE_WORDS) -> int:
-    """The 64-bit SimHash of all word shingles, repeats included; 0 without words."""
+def shingle_hashes(data: bytes | None, words: int) -> np.ndarray:
+    """XXH64 of every word shingle, repeats included; a text shorter than a shingle is one, one without words has none."""
     found = (data or b"").lower().split()  # the six ASCII spaces
     if not found:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(words, len(found))
     spans = zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
-    hashes = np.array([xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in spans], "<u8")
+    return np.array([xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in spans], "<u8")
+
+
+def fingerprint(data: bytes | None, words: int = SHINGLE_WORDS) -> int:
+    """The 64-bit SimHash of all word shingles, repeats included; 0 without words."""
+    hashes = shingle_hashes(data, words)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for start in range(0, len(hashes), 1 << 16):
         part = hashes[start : start + (1 << 16)]
@@ -140,6 +147,11 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """One document of each group, that with the smallest id (null last); all columns stay, repeated rows go."""
     _, groups = classes(docs, **options)
+    return keep_rows(docs, groups)
+
+
+def keep_rows(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows that ``first`` of ``groups`` names, each once, with all columns."""
     stay = groups.select(F.col("first.doc_id").alias("id_"), F.col("first.digest").alias("digest_")).distinct()
     rows = keyed(docs)
     met = rows.join(stay, same(rows, stay, {"doc_id": "id_", "digest": "digest_"}), "left_semi")

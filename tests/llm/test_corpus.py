@@ -306,6 +306,41 @@ def test_one_of_each(odd, clashing, none):
     assert simhash.near_duplicates(odd).count() == len(ODD)
 
 
+def test_pipeline_near_dedup_equals_brute_force_jaccard(spark, monkeypatch, none, clashing):
+    import corpus_pipeline
+    from pairwright.llm import near_jaccard
+
+    for name, value in {"CELL": 4, "BLOCK": 8, "PIVOTS": 2}.items():  # small cells, blocks and pivots all come into play
+        monkeypatch.setattr(near_jaccard, name, value)
+    rows, vocabulary, rng = corpus(60)
+    for g in range(6):  # families around the limit: 0 to 12 of 150 words replaced
+        base = rng.choices(vocabulary, k=150)
+        for i in range(15):
+            copy = list(base)
+            for _ in range(rng.randrange(13)):
+                copy[rng.randrange(150)] = rng.choice(vocabulary)
+            rows.append((1000 + 100 * g + i, " ".join(copy), None, None, None))
+    line = " ".join(rng.choices(vocabulary, k=9))
+    rows += [(2000 + i, line + " " + " ".join(rng.choices(vocabulary, k=5)), None, None, None) for i in range(30)]
+    rows += [(3000, None, None, None, None), (3001, "", None, None, None), (3002, "A b", None, None, None), (3003, "a  B", None, None, None), (3003, "a  B", None, None, None)]
+
+    def shingles(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+        return frozenset(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+    sets = [shingles(r[1]) for r in rows]
+    near = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b) > 0
+    low = brute_components(sets, near)
+    want = sorted({rows[r][0] for r in low.values()})
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs_of(spark, rows), "").collect())
+    assert got == want and len(want) < len({s for s in sets})
+    by_bits = {r.doc_id for r in simhash.one_of_each(docs_of(spark, rows), words=5).collect()}
+    assert len(by_bits) > len(want)
+    assert corpus_pipeline.near_dedup(spark, none, "").count() == 0
+    kept = corpus_pipeline.near_dedup(spark, clashing, "")
+    assert kept.columns == clashing.columns and sorted((r.doc_id for r in kept.collect()), key=str) == [1, 4, 6, 7, None]
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 102), (102, 101), (7, 7), (100, 102)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "node long, root long")).collect()}
