@@ -11,10 +11,13 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from pairwright.llm.shared import landed
 
 BUCKETS, DIM = 4096, 16
 SAMPLE_ROWS = 4096  # bound of the labelled sample, shared evenly among the languages
+LEAST_TEXTS = 16  # of a language, however many there are
 EPOCHS, BATCH, RATE = 12, 64, 2.0
 CHUNK = 1 << 20  # letters handled at once in a long text
 UNKNOWN = "und"
@@ -112,23 +115,23 @@ def train(counts: np.ndarray, truth: np.ndarray, labels: tuple[str, ...], calibr
 
 
 def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """About ``rows`` labelled texts, evenly by language, chosen by a hash of the text; never more than twice as many.
+    """Distinct labelled texts with a letter, the same number of each language (all if it has fewer), chosen by a hash of the text.
 
-    Only ``text`` and ``lang`` are read.  Rows without text or language are left out.
+    ``rows`` are shared out, but a language gets ``LEAST_TEXTS`` at least; copies of a text
+    count once.  Only ``text`` and ``lang`` are read.
     """
-    known = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
-    n = known.groupBy("lang").count()
-    per = F.lit(rows) / F.greatest(F.count(F.lit(1)).over(_all()), F.lit(1))
-    rate = n.select("lang", F.least(F.lit(1.0), per / F.col("count")).alias("rate"))
-    unit = (F.xxhash64("text", F.lit("sample")).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))).alias("unit")
-    chosen = known.join(F.broadcast(rate.orderBy("lang").limit(100_000)), "lang").select("text", "lang", unit, "rate").where("unit < rate")
-    return chosen.orderBy("unit", "text").limit(2 * rows).select("text", "lang", "unit")
-
-
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))
+    h = F.xxhash64("text", F.lit("sample"))
+    known = docs.where("lang IS NOT NULL").where(F.col("text").rlike(r"\p{L}")).select("text", "lang", h.alias("h"))
+    distinct = landed(known.select("lang", "h").distinct(), "language-texts")
+    n = distinct.groupBy("lang").count()
+    per = F.greatest(F.ceil(F.lit(rows) / F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))), F.lit(LEAST_TEXTS))
+    unit = (F.col("h").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))).alias("unit")
+    # twice the share and some more lie below the rate, so the ranks are taken over few rows
+    shares = n.select("lang", per.alias("per"), ((2 * per + 64) / F.col("count")).alias("rate"))
+    near = distinct.join(F.broadcast(shares), "lang").select("lang", "h", "per", unit, "rate").where("unit < rate")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("unit", "h"))
+    chosen = near.withColumn("place", place).where("place <= per").select("lang", "h", "unit")
+    return known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h", "unit").agg(F.min("text").alias("text")).select("text", "lang", "unit")
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> LanguageModel:
@@ -155,7 +158,9 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> LanguageModel:
         row[np.frombuffer(at.as_buffer(), "<u2")] = np.frombuffer(n.as_buffer(), "<u4")
     del got
     truth = np.array([labels.index(lang) for lang in named])
-    calibration = np.arange(len(named)) % 4 == 0 if len(named) >= 40 else np.zeros(len(named), bool)
+    # every fourth text of a language; one with fewer is only learned from
+    nth = pd.Series(named).groupby(named).cumcount().to_numpy()
+    calibration = nth % 4 == 3 if len(named) >= 40 else np.zeros(len(named), bool)
     return train(counts, truth, labels, calibration)
 
 

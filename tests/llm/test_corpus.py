@@ -115,6 +115,25 @@ def test_language_on_held_out_texts(spark, none):
     assert empty.labels == () and empty.predict("word") == ("und", 0.0)
 
 
+def test_copies_neither_shrink_nor_fill_a_language(spark):
+    rng = random.Random(5)
+    text = lambda stems: " ".join("".join(rng.choices(stems, k=3)) for _ in range(12))
+    stems = {"x": ["ka", "lo", "mi"], "y": ["sch", "ung", "ei"], "z": ["ção", "nh", "lh"]}
+    rows = [(text(s), k) for k, s in stems.items() for _ in range(60)]
+    hot = [spark.createDataFrame([(text(stems["x"]), "x")], "text string, lang string") for _ in range(4)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    for h in hot:  # some of these hashes lie low, some high
+        docs = docs.unionByName(h.join(spark.range(4000)).select("text", "lang"))
+    docs = docs.unionByName(spark.createDataFrame([("12 —", "digits"), ("schnurz", "w")], docs.schema))
+    got = language.labelled_sample(docs, rows=64).collect()
+    by_lang = {k: {r.text for r in got if r.lang == k} for k in ("w", "x", "y", "z", "digits")}
+    assert [len(by_lang[k]) for k in ("w", "x", "y", "z", "digits")] == [1, 16, 16, 16, 0]
+    assert len(got) == 49  # no text twice
+    model = language.fit(docs, rows=64)
+    assert model.labels == ("w", "x", "y", "z")
+    assert all(model.predict(t)[0] == k for t, k in rows)
+
+
 def test_long_text_has_the_histogram_of_its_parts():
     text = "ab cé " * 400_000
     whole = language.histogram(text)
