@@ -35,6 +35,10 @@ BRANCH = [
 ]
 
 
+#: what tells the input rows apart
+ROW = ("prompt_id", "prompt", "nth")
+
+
 def _entries(script: DataFrame, keys: list[str], count: int) -> DataFrame:
     """First ``count`` continuations per key in the order of ``ord``; a row without text marks a key that has none."""
     entry = F.when(F.col("text").isNotNull(), F.struct("ord", "text", "logprob", "is_complete"))
@@ -156,13 +160,19 @@ def _ranked_step(candidates: DataFrame, beam_width: int, step: int, keys: tuple[
     )
 
 
-def _results(steps: DataFrame, parameters: dict[str, float]) -> DataFrame:
+def _numbered(prompts: DataFrame) -> DataFrame:
+    """The input rows with the columns of ``ROW``: equal rows are told apart by their number."""
+    named = prompts.select(F.col("prompt_id").cast("string").alias("prompt_id"), "prompt")
+    return named.withColumn("nth", F.row_number().over(Window.partitionBy("prompt_id", "prompt").orderBy("prompt_id")))
+
+
+def _results(steps: DataFrame, parameters: dict[str, float], keys: tuple[str, ...] = ("prompt_id", "prompt")) -> DataFrame:
     """Decoding results from the ranked steps of every prompt."""
     width = parameters["beam_width"]
     kept = F.slice("candidates", 1, width)
     pruned = F.slice("candidates", F.lit(width + 1), F.greatest(F.size("candidates"), F.lit(1)))
     trace = F.struct("step_index", "candidates", kept.alias("kept"), pruned.alias("pruned"))
-    per_prompt = steps.groupBy("prompt_id", "prompt").agg(
+    per_prompt = steps.groupBy(*keys).agg(
         F.max_by(kept, "step_index").alias("branches"),
         F.sum("calls").alias("verifier_call_count"),
         F.array_sort(F.collect_list(trace)).alias("steps"),
@@ -238,7 +248,7 @@ def beam(
 ) -> DataFrame:
     """Multi-step beam selection for all prompts (prompt_id, prompt).
 
-    Equal rows are one prompt; different prompts that share an id are decoded apart.
+    Every row is decoded for itself, equal rows and different prompts that share an id too.
     Each step is checkpointed, so the plan stays short and a lost executor costs one step.
     The driver loop runs at most ``max_steps`` times and stops when no prompt has an open beam.
     """
@@ -251,8 +261,7 @@ def beam(
         F.lit(None).cast("string").alias("stopped_reason"), F.lit(0).alias("word_count"),
         F.lit(0).alias("repeated_line_count"), zero.alias("length_penalty"), zero.alias("repeated_line_penalty"),
     )
-    named = prompts.select(F.col("prompt_id").cast("string").alias("prompt_id"), "prompt").distinct()
-    beams = named.select("prompt_id", "prompt", F.lit(0).alias("rank"), start.alias("b"))
+    beams = _numbered(prompts).select(*ROW, F.lit(0).alias("rank"), start.alias("b"))
     steps = None
     for step in range(max_steps):
         is_open = ~F.col("b.is_complete")
@@ -266,8 +275,7 @@ def beam(
         has_more = F.col("cand_text").isNotNull()
         place = F.col("rank").cast("long") * F.lit(1 << 32)  # by beam, then by arrival
         grown = expanded.select(
-            "prompt_id",
-            "prompt",
+            *ROW,
             (place + F.coalesce("cand_ord", F.lit(0))).alias("place"),
             stopped.alias("stopped"),
             has_more.alias("scored"),
@@ -278,26 +286,28 @@ def beam(
         candidates = (
             _measured(grown, scorer, length_weight, repeat_weight)
             .select(
-                "prompt_id", "prompt", "place", F.when(F.col("scored"), _branch(beta)).otherwise(F.col("stopped")).alias("branch"), "scored"
+                *ROW, "place", F.when(F.col("scored"), _branch(beta)).otherwise(F.col("stopped")).alias("branch"), "scored"
             )
             .unionByName(
                 beams.where(~is_open).select(
-                    "prompt_id", "prompt", place.alias("place"), F.col("b").alias("branch"), F.lit(False).alias("scored")
+                    *ROW, place.alias("place"), F.col("b").alias("branch"), F.lit(False).alias("scored")
                 )
             )
         )
-        ranked = _ranked_step(candidates, beam_width, step).checkpoint()
+        ranked = _ranked_step(candidates, beam_width, step, ROW).checkpoint()
         steps = ranked if steps is None else steps.unionByName(ranked)
         open_prompts = ranked.where(~F.col("finished"))
         if step + 1 == max_steps or open_prompts.isEmpty():
             break
-        beams = open_prompts.select("prompt_id", "prompt", F.posexplode(F.slice("candidates", 1, beam_width)).alias("rank", "b"))
-    return _results(steps, _parameters(beam_width, expansions, beta, max_steps, length_weight, repeat_weight))
+        beams = open_prompts.select(*ROW, F.posexplode(F.slice("candidates", 1, beam_width)).alias("rank", "b"))
+    return _results(steps, _parameters(beam_width, expansions, beta, max_steps, length_weight, repeat_weight), ROW)
 
 
-def lookahead_select(level1: DataFrame, level2: DataFrame, budget: int = 32, beta: float = 1.0) -> DataFrame:
+def lookahead_select(level1: DataFrame, level2: DataFrame, budget: int = 32, beta: float = 1.0, keys: tuple[str, ...] = ("prompt_id",)) -> DataFrame:
     """Answer with the best value after looking one level ahead.
 
+    ``keys`` of both tables tell the searches apart.
+
     ``level1``: prompt_id, ord (from 0), text, logprob, reward.  ``level2``: prompt_id,
     parent_ord, logprob (of the whole path), reward, for the children that were expanded.
     Only the first ``budget`` children are visited; a visited child is worth the best total
@@ -308,16 +318,16 @@ def lookahead_select(level1: DataFrame, level2: DataFrame, budget: int = 32, bet
         raise ValueError("budget must be at least 1")
     reward = F.coalesce("reward", F.raise_error(F.lit("a candidate has no score")).cast("double"))
     total = F.coalesce("logprob", F.lit(0.0)) + F.lit(float(beta)) * reward
-    below = level2.groupBy("prompt_id", F.col("parent_ord").alias("ord")).agg(
+    below = level2.groupBy(F.struct(*keys).alias("key"), F.col("parent_ord").alias("ord")).agg(
         F.max(total).alias("best_below"), F.count(F.lit(1)).alias("calls_below")
     )
-    children = level1.select("prompt_id", "ord", "text", total.alias("total")).join(below, ["prompt_id", "ord"], "left")
+    children = level1.select(F.struct(*keys).alias("key"), "ord", "text", total.alias("total")).join(below, ["key", "ord"], "left")
     visited = F.col("ord") < budget
     value = F.when(visited, F.coalesce("best_below", "total")).otherwise(F.col("total"))
     calls = F.lit(1) + F.when(visited, F.coalesce("calls_below", F.lit(0))).otherwise(0)
     best = F.max_by(F.struct("text", "total"), F.struct(value.alias("v"), "total", -F.col("ord")))
-    return children.groupBy("prompt_id").agg(best.alias("b"), F.sum(calls).alias("verifier_call_count")).select(
-        "prompt_id",
+    return children.groupBy("key").agg(best.alias("b"), F.sum(calls).alias("verifier_call_count")).select(
+        "key.*",
         strip(F.col("b.text")).alias("final_answer"),
         F.col("b.total").alias("final_score"),
         F.lit("ttc_mcts").alias("method"),
@@ -330,16 +340,17 @@ def lookahead(
 ) -> DataFrame:
     """Two-level lookahead for all prompts; a prompt without continuations gets an empty answer.
 
+    Every row is searched for itself, equal rows and different prompts that share an id too.
+
     The first level is checkpointed: the second one hangs below the very children it holds,
     and the generator is asked once for them.
     """
     if expansions < 1:
         raise ValueError("expansions must be at least 1")
     ensure_checkpoint_dir(prompts.sparkSession)
-    roots = prompts.select(F.col("prompt_id").cast("string").alias("prompt_id"), "prompt", F.lit("").alias("prefix"))
+    roots = _numbered(prompts).withColumn("prefix", F.lit(""))
     children = expander(roots, expansions).where(F.col("cand_text").isNotNull()).select(
-        "prompt_id",
-        "prompt",
+        *ROW,
         F.col("cand_ord").alias("ord"),
         F.col("cand_text").alias("text"),
         F.col("cand_logprob").alias("logprob"),
@@ -347,16 +358,17 @@ def lookahead(
         scorer(F.col("prompt"), F.col("cand_text")).alias("reward"),
     ).checkpoint()
     visited = children.where(~F.col("is_complete") & (F.col("ord") < budget)).select(
-        "prompt_id", "prompt", "ord", F.col("text").alias("prefix"), F.col("logprob").alias("path_logprob")
+        *ROW, "ord", F.col("text").alias("prefix"), F.col("logprob").alias("path_logprob")
     )
     below = expander(visited, expansions).where(F.col("cand_text").isNotNull()).select(
-        "prompt_id",
+        *ROW,
         F.col("ord").alias("parent_ord"),
         (F.coalesce("path_logprob", F.lit(0.0)) + F.coalesce("cand_logprob", F.lit(0.0))).alias("logprob"),
         scorer(F.col("prompt"), F.concat("prefix", "cand_text")).alias("reward"),
     )
-    chosen = lookahead_select(children, below, budget, beta)
-    return roots.select("prompt_id", "prompt").join(chosen, "prompt_id", "left").select(
+    key = F.struct(*ROW).alias("key")  # a struct equals another with the same nulls
+    chosen = lookahead_select(children, below, budget, beta, ROW).withColumn("key", key).drop(*ROW)
+    return roots.select("prompt_id", "prompt", key).join(chosen, "key", "left").select(
         "prompt_id",
         "prompt",
         F.coalesce("final_answer", F.lit("")).alias("final_answer"),

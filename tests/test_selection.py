@@ -165,6 +165,24 @@ def test_lookahead_asks_once_for_each_level(spark, tmp_path):
     assert len(asked) == 3 + 3 * 2 and len(set(asked)) == len(asked)
 
 
+def test_every_row_of_a_shared_id_has_its_own_result(spark):
+    class Client:
+        def expand(self, prompt, prefix, count):
+            return [(f"{prompt} {len(prefix)} a", -1.0, False), (f"{prompt} b", -2.0, True)]
+
+    asked = [("p", "x"), ("p", "yy"), ("p", "yy"), ("p", None), (None, "x"), ("q", "x")]
+    table = spark.createDataFrame(asked, "prompt_id STRING, prompt STRING").repartition(3)
+    expander, scorer = selection.client_expander(Client), rule_scorer(["b"], [])
+    for run in (lambda t: selection.lookahead(t, expander, scorer), lambda t: selection.beam(t, expander, scorer, max_steps=2)):
+        found = rows(run(table))
+        assert sorted(((r["prompt_id"], r["prompt"]) for r in found), key=str) == sorted(asked, key=str)
+        alone = {a: rows(run(spark.createDataFrame([a], table.schema)))[0] for a in asked if a[1]}
+        for r in found:
+            if r["prompt"]:
+                same = alone[r["prompt_id"], r["prompt"]]
+                assert all(r[c] == same[c] for c in ("final_answer", "final_score", "verifier_call_count"))
+
+
 def test_lookahead_missing_numbers(spark):
     first = spark.createDataFrame([("p0", 0, "a", None, 3.0), ("p0", 1, "b", -1.0, 1.0)], "prompt_id STRING, ord INT, text STRING, logprob DOUBLE, reward DOUBLE")
     below = spark.createDataFrame([], "prompt_id STRING, parent_ord INT, logprob DOUBLE, reward DOUBLE")
