@@ -2,7 +2,9 @@
 
 Words that occur once in the text and once in the template anchor the alignment; the longest
 increasing subsequence of the anchors is kept, and the gaps between them are aligned in the
-same way.  Coverage is the share of the template's words that are aligned.
+same way.  Coverage is the share of the template's words that are aligned; in a short
+statement inserted words count too.  Words of a licence's name and version must be aligned,
+and no other licence's may be inserted.
 """
 
 import re
@@ -13,15 +15,30 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairwright.llm.license_texts import TEMPLATES
+from pairwright.llm.license_texts import MARKS, TEMPLATES, TEXT_MARKS
 
 COVERAGE = 0.8
 SLACK = 1.25  # how much longer than the template its occurrence may be
-WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+SHORT = 20  # words of a statement; inserted words count against its coverage
+WORD = re.compile(rb"[0-9]+(?:\.[0-9]+)+(?![0-9a-z\x80-\xff])|[0-9a-z\x80-\xff]+")
 
 
 def words(text: str | None) -> list[bytes]:
-    return WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
+    """Words of a text; a version such as 2.1 is one word, 2.0 is 2."""
+    found = WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
+    return [w[:-2] if w.endswith(b".0") else w for w in found]
+
+
+NAMING, TEXT_NAMING = frozenset(words(MARKS)), frozenset(words(TEXT_MARKS))
+
+
+def marks(template: list[bytes]) -> tuple[frozenset[bytes], frozenset[bytes]]:
+    """(words that must be aligned, words that must not be inserted)."""
+    if len(template) <= SHORT:
+        own = NAMING.intersection(template)
+        return own, NAMING - own - {b"by"}
+    own = TEXT_NAMING.intersection(template)
+    return own | {w for v, w in zip(template, template[1:], strict=False) if v in (b"version", b"v") and w in NAMING}, TEXT_NAMING - own
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -106,7 +123,13 @@ class Scanner:
         # the densest stretch of the length an occurrence may have
         ends = np.searchsorted(at, at + int(SLACK * len(template)) + 3)
         i = int((ends - np.arange(len(at))).argmax())
-        return float(ends[i] - i) / len(template), -(start + int(at[i])), start + int(at[ends[i] - 1]) + 1
+        first, end = int(at[i]), int(at[ends[i] - 1]) + 1
+        inserted = set(range(first, end)) - {p for p, _ in pairs[i : ends[i]]}
+        own, foreign = marks(template)
+        if own - {template[q] for _, q in pairs[i : ends[i]]} or any(part[p] in foreign for p in inserted):
+            return 0.0, 0, 0
+        size = len(template) + (len(inserted) if len(template) <= SHORT else 0)
+        return float(ends[i] - i) / size, -(start + first), start + end
 
 
 def licenses(text: Column, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE) -> Column:

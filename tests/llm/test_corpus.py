@@ -382,6 +382,24 @@ def test_licences(spark, odd, none):
     assert license_scan.scan_licenses(odd).count() == len(ODD) and license_scan.scan_licenses(none).count() == 0
 
 
+def test_licences_need_their_name_and_version():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    best = lambda t: max(scanner.scan(t), key=lambda f: (f[1], len(license_scan.words(license_scan.TEMPLATES[f[0]]))), default=(None,))[0]
+    work = "This work is licensed under the GNU "
+    for text in (
+        "Licensed under the Apache License.", "Licensed under the GPL License.", "Released under the same license.",
+        work + "Lesser General Public License, version 2.1.", work + "General Public License, version 2.1.", work + "Affero General Public License, version 2.",
+        license_scan.TEMPLATES["GPL-3.0"].replace("GNU General", "GNU Affero General"), license_scan.TEMPLATES["GPL-3.0"].replace("version 3", "version 2"),
+    ):
+        assert best(text) is None, text
+    assert best(work + "General Public License, version 2.0.") == "GPL-2.0 statement"
+    for name, template in license_scan.TEMPLATES.items():
+        assert best("before that " + template + " after it") == name
+    bulleted = license_scan.TEMPLATES["BSD-2-Clause"].replace("1. ", "* ").replace("2. ", "* ")
+    assert best(bulleted) == "BSD-2-Clause" and best(license_scan.TEMPLATES["MIT"].replace("subject to", "1 subject by 2 to")) == "MIT"
+    assert {"BSD-2-Clause", "BSD-3-Clause", "ISC whole text"} <= set(license_scan.TEMPLATES)
+
+
 def test_alignment_is_a_common_subsequence_of_at_most_the_longest():
     rng = random.Random(8)
     for _ in range(60):
