@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairwright.llm import decontamination, language, license_scan, line_dedup, mixing, resharding, simhash, toxicity, url_filter, vector_dedup
+from pairwright.llm import collocations, decontamination, html_text, language, license_scan, line_dedup, mixing, prefix_trie, resharding, simhash, toxicity, url_filter, vector_dedup
 from pairwright.llm.oracles import ORACLES
 from pairwright.llm.shared import fold
 
@@ -67,6 +67,19 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.top_phrases(_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,7 +90,8 @@ QUERIES = {
     q.__name__: q
     for q in (
         op1_decontamination, op2_language_id, op3_url_filter, op4_source_mixing, op5_line_dedup, op6_simhash_dedup,
-        op7_license_scan, op8_toxicity, op9_resharding, op10_vector_dedup, pipeline,
+        op7_license_scan, op8_toxicity, op9_resharding, op10_vector_dedup,
+        op11_phrase_mining, op12_html_extraction, op13_prefix_trie, pipeline,
     )
 }
 
