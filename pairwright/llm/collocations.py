@@ -28,7 +28,7 @@ NO_LANG = "und"
 ID_BITS, SALT_BITS = 20, 4  # three words and a salt make up a 64-bit key within a task
 FLUSH_WORDS = (1 << ID_BITS) - 8  # words a task adds up before it sends their grams on
 BATCH_ROWS = 1 << 14
-HELD_BYTES = 32 << 20  # packed grams a task merges at a time
+HELD_BYTES = 16 << 20  # packed grams a task merges at a time
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 
@@ -91,7 +91,7 @@ def _packed(batches):
                     tokens += words
                     tokens.append(b"")
             size += len(tokens) - before
-            if size >= FLUSH_WORDS // 2:
+            if size >= FLUSH_WORDS // 4:
                 yield from flush()
                 size = 0
     yield from flush()
