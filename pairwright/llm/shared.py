@@ -14,7 +14,14 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.landed_at = path
+    return back
+
+
+def released(table: DataFrame) -> None:
+    """Empty a landed table that nothing will read any more, so that its disk is free before the operator ends."""
+    table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(table.landed_at)
 
 
 def ascii_lower(text: Column) -> Column:
