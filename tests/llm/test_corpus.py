@@ -360,6 +360,19 @@ def test_pipeline_near_dedup_equals_brute_force_jaccard(spark, monkeypatch, none
     assert kept.columns == clashing.columns and sorted((r.doc_id for r in kept.collect()), key=str) == [1, 4, 6, 7, None]
 
 
+def test_sketches_differ_in_no_more_bits_than_sets():
+    from pairwright.llm import near_jaccard
+
+    rng = np.random.default_rng(3)
+    for n, common, m in [(1, 0, 1), (0, 0, 5), (200, 190, 205), (300, 290, 257), (900, 0, 1100), (5000, 4500, 4600)]:
+        x = rng.integers(0, 2**63, n, np.uint64)
+        y = np.concatenate([x[:common], rng.integers(0, 2**63, max(0, m - common), np.uint64)])
+        apart = near_jaccard.sketches_apart(near_jaccard.parity_sketch(x), near_jaccard.parity_sketch(y))
+        assert apart <= len(np.setxor1d(x, y))
+        if n and not common and n > 100:
+            assert apart * 9 > n + m  # sets that share nothing are told apart
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 102), (102, 101), (7, 7), (100, 102)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "node long, root long")).collect()}
