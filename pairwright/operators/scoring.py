@@ -73,7 +73,7 @@ def margins(scored: DataFrame) -> DataFrame:
 
 def validate_scores(scored: DataFrame, min_accuracy: float = 0.65) -> tuple[DataFrame, DataFrame]:
     """One-row report on how well the scores separate chosen from rejected, and the failing pairs."""
-    deltas = margins(scored).persist()  # a few numbers per pair, read three times
+    deltas = landed(margins(scored), "margins")  # a few numbers per pair, read more than once
     margin = F.col("margin")
     report = stats_with_median(
         deltas,
