@@ -1,17 +1,18 @@
-"""Joins that stay balanced when one key holds a large share of the rows.
+"""Joins that stay balanced when one key holds a large share of the rows, and winner rows per key.
 
 AQE splits a skewed partition only when both join inputs come straight from a shuffle.
-Here the right side is usually an aggregate (one row per key), so the split is made
-explicit: the left rows of keys that a frequent-items sketch finds heavy meet a broadcast
-of the few right rows of just those keys, and are never shuffled; all other rows join by
-key as usual.  Any choice of heavy keys gives the same result, copies of one row included.
+Here the right side is usually an aggregate (one row per key), so the split can be made
+explicit: left rows of the keys named as heavy get a salt, and just those keys' right rows
+are replicated once per salt.  Both sides are read and shuffled once, and any choice of
+heavy keys gives the same result, copies of one row included.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 MAX_HEAVY_KEYS = 100
 TRACKED_KEYS = 10_000
 MIN_HEAVY_ROWS = 200_000
+SALTS = 64
 BROADCAST_BYTES = 64 * 1024 * 1024
 BROADCAST_ROWS = 1_000_000
 
@@ -38,21 +39,21 @@ def heavy_keys(df: DataFrame, on: list[str], min_rows: int = MIN_HEAVY_ROWS) ->
     return [item["item"] for item in (found.top or []) if item["count"] >= share]
 
 
-def keyed_join(
-    left: DataFrame, right: DataFrame, on: list[str], how: str = "left", min_rows: int = MIN_HEAVY_ROWS
-) -> DataFrame:
+def keyed_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", heavy: list[int] | None = None, salts: int = SALTS) -> DataFrame:
     """Join a fact table with a table that has one row per key; ``left`` keys may be skewed.
 
-    ``how`` is inner, left, left_semi or left_anti.  The key filters are pushed down to the
-    scans, so splitting the left side does not repeat the work above them.  The broadcast
-    holds at most ``MAX_HEAVY_KEYS`` rows, because the right side has one row per key.
+    ``how`` is inner, left, left_semi or left_anti.  ``heavy`` are hashes of keys as
+    ``heavy_keys`` finds them, an action of its own that the caller asks for; without them
+    this is a plain join.
     """
-    keys = heavy_keys(left, on, min_rows)
-    if not keys:
+    if not heavy:
         return left.join(right, on, how)
-    heavy = F.xxhash64(*on).isin(keys)
-    spread = left.where(heavy).join(F.broadcast(right.where(heavy)), on, how)
-    return left.where(~heavy).join(right, on, how).unionByName(spread)
+    hot = F.xxhash64(*on).isin(heavy)
+    # the salt follows from the row, so a task that runs again deals its rows alike
+    spread = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in left.columns if not dict(left.dtypes)[c].startswith("map")), F.lit("salt")), F.lit(salts)).cast("int")
+    salted = left.withColumn("_salt", F.when(hot, spread).otherwise(0))
+    copies = right.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def _width(df: DataFrame) -> Column:
@@ -76,25 +77,41 @@ def dimension_join(facts: DataFrame, dimension: DataFrame, on: list[str], how: s
     return keyed_join(facts, dimension, on, how)
 
 
+def _ordinal(order: Column, row: Column, largest: bool) -> Column:
+    """One number for the order and, among equal orders, a hash of the row: hash aggregates hold it in place."""
+    tie = F.shiftrightunsigned(F.xxhash64(row), 4).cast("decimal(19,0)")  # 60 bits
+    sign = F.lit(1 if largest else -1)
+    place = (order.cast("decimal(19,0)") * sign).cast("decimal(38,0)") * F.lit(1 << 60).cast("decimal(19,0)")
+    return F.coalesce(place, F.lit(f"-9{'0' * 37}").cast("decimal(38,0)")) + tie
+
+
+def winners(df: DataFrame, key: list[str], order: str, largest: bool = True) -> DataFrame:
+    """The row of each key with the largest (or smallest) ``order``, a whole number; a null order loses to any other.
+
+    Of several rows with that order the one with the largest hash wins, so reruns agree.
+    Only keys and ordinals are aggregated; the rows themselves are fetched by a semi-join
+    (which a runtime Bloom filter may thin out in the scan), and of repeated rows one stays.
+    Null keys are keys.
+    """
+    clear = [F.col(f"`{c}`") if not kind.startswith("map") else F.to_json(F.col(f"`{c}`")) for c, kind in df.dtypes]
+    ranked = df.withColumn("_rank", _ordinal(F.col(order), F.struct(*clear), largest))
+    best = ranked.groupBy(*key).agg(F.max("_rank").alias("_best")).withColumnsRenamed({k: f"{k}_of" for k in key})
+    same = F.col("_rank") == F.col("_best")
+    for k in key:
+        same &= ranked[k].eqNullSafe(best[f"{k}_of"])
+    met = ranked.join(best, same, "left_semi").drop("_rank")
+    once = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
+    return met.withColumn("_nth", once).where("_nth = 1").select(*df.columns)
+
+
 def last_by_key(df: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The row with the highest ``order`` per key.  Combines map-side, so a hot key never travels whole."""
-    rest = [c for c in df.columns if c not in key]
-    return (
-        df.groupBy(*key)
-        .agg(F.max_by(F.struct(*rest), F.col(order)).alias("_last"))
-        .select(*key, "_last.*")
-        .select(*df.columns)
-    )
+    """The row with the highest ``order`` per key."""
+    return winners(df, key, order)
 
 
 def first_by_key(df: DataFrame, key: list[str], order: str) -> DataFrame:
-    rest = [c for c in df.columns if c not in key]
-    return (
-        df.groupBy(*key)
-        .agg(F.min_by(F.struct(*rest), F.col(order)).alias("_first"))
-        .select(*key, "_first.*")
-        .select(*df.columns)
-    )
+    """The row with the lowest ``order`` per key."""
+    return winners(df, key, order, largest=False)
 
 
 def pending(requests: DataFrame, done: DataFrame, key: str = "prompt_id") -> DataFrame:

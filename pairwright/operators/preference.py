@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from pairwright.functions.similarity import near_duplicate
 from pairwright.functions.text import is_blank
 from pairwright.functions.values import merge_maps
-from pairwright.operators.joins import keyed_join
+from pairwright.operators.joins import keyed_join, winners
 from pairwright.schemas import metadata_map
 from pairwright.session import landed
 
@@ -13,18 +13,15 @@ MISSING, EMPTY, DUPLICATE = "missing_answer", "empty", "near_duplicate"
 
 
 def answers_by_prompt(chosen: DataFrame, rejected: DataFrame, order: str) -> DataFrame:
-    """Last chosen and last rejected answer per prompt id, in one shuffle."""
+    """Last chosen and last rejected answer per prompt id; texts of answers that were replaced do not travel twice."""
     columns = ["prompt_id", "text", "model", "metadata", order]
     both = (
         chosen.select(*columns, F.lit(True).alias("good"))
         .unionByName(rejected.select(*columns, F.lit(False).alias("good")))
     )
-    answer = F.struct("text", "model", "metadata")
-    good = F.col("good")
-    return both.groupBy("prompt_id").agg(
-        F.max_by(F.when(good, answer), F.when(good, F.col(order))).alias("chosen_answer"),
-        F.max_by(F.when(~good, answer), F.when(~good, F.col(order))).alias("rejected_answer"),
-    )
+    last = winners(both, ["prompt_id", "good"], order).withColumn("answer", F.struct("text", "model", "metadata"))
+    good, bad = (last.where(F.col("good") == side).select("prompt_id", F.col("answer").alias(name)) for side, name in ((True, "chosen_answer"), (False, "rejected_answer")))
+    return good.join(bad, "prompt_id", "full")
 
 
 def judge_pairs(

@@ -100,9 +100,6 @@ def stats_with_median(df: DataFrame, keys: list[str], aggregates: list[Column],
     ``df`` should hold the needed numbers only: it is written once to the shared folder and
     read from there.  Without ``keys`` there is one row, also of an empty table.
     """
-    one = [] if keys else ["_all"]
     kept = landed(df if keys else df.withColumn("_all", F.lit(0)), "numbers")
-    first = kept.groupBy(*keys).agg(*aggregates)
-    if one:
-        first = first.withColumn("_all", F.lit(0))
-    return same_keys(first, exact_median(kept, keys or one, value, name), keys or one, "left").drop(*one)
+    first, median = kept.groupBy(*keys).agg(*aggregates), exact_median(kept, keys or ["_all"], value, name)
+    return same_keys(first, median, keys, "left") if keys else first.withColumn(name, median.select(name).scalar())

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pairwright.functions import text as T
 from pairwright.functions.values import compute_budget, is_yes, number_or_zero, parsed_or_zero
+from pairwright.operators.joins import winners
 from pairwright.operators.requests import answer_of, column_or, static_answer_of
 
 HUMAN_FLAGS = [
@@ -113,20 +114,19 @@ def quality_vs_compute(outputs: DataFrame) -> DataFrame:
 
 
 def human_review_sheet(outputs: DataFrame, methods: list[str], order: str = "seq") -> DataFrame:
-    """One row per prompt: first prompt text, last answer of each method, blank columns for the votes."""
-    answer, method = answer_of(outputs), column_or(outputs, "method", "unknown")
-    blank = ["best_method", *HUMAN_FLAGS, "notes"]
-    return (
-        outputs.groupBy(column_or(outputs, "prompt_id", "").alias("prompt_id"))
-        .agg(
-            F.min_by(column_or(outputs, "prompt", ""), F.col(order)).alias("prompt"),
-            *(
-                F.max_by(F.when(method == m, answer), F.when(method == m, F.col(order))).alias(f"{m}_answer")
-                for m in methods
-            ),
-        )
-        .select("prompt_id", "prompt", *(F.lit("").alias(c) for c in blank), *(f"{m}_answer" for m in methods))
+    """One row per prompt: first prompt text, last answer of each method, blank columns for the votes.
+
+    The rows to show are found by their numbers; their texts meet at the prompt id in the end.
+    """
+    rows = outputs.select(
+        column_or(outputs, "prompt_id", "").alias("prompt_id"), column_or(outputs, "method", "unknown").alias("method"), column_or(outputs, "prompt", "").alias("prompt"), answer_of(outputs).alias("answer"), F.col(order)
     )
+    blank = ["best_method", *HUMAN_FLAGS, "notes"]
+    sheet = winners(rows.select("prompt_id", "prompt", order), ["prompt_id"], order, largest=False).select("prompt_id", "prompt")
+    last = winners(rows.where(F.col("method").isin(methods)).drop("prompt"), ["prompt_id", "method"], order)
+    for m in methods:
+        sheet = sheet.join(last.where(F.col("method") == m).select("prompt_id", F.col("answer").alias(f"{m}_answer")), "prompt_id", "left")
+    return sheet.select("prompt_id", "prompt", *(F.lit("").alias(c) for c in blank), *(f"{m}_answer" for m in methods))
 
 
 def human_preference_table(reviews: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from pairwright.operators import compare, joins, splits, tables
+from pairwright.operators import compare, joins, preference, splits, tables
 from querybook import registry
 from querybook.oracles import ORACLES
 
@@ -53,12 +53,43 @@ def test_samples_are_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan_of(compare.pairwise(scores, "a", ["b"]))
 
 
-def test_heavy_keys_are_not_shuffled(spark):
-    left = spark.range(3000).select(F.when(F.col("id") < 1500, 0).otherwise(F.col("id")).alias("k"), "id")
+def test_heavy_keys_are_salted_in_one_pass(spark, tmp_path):
+    spark.range(3000).select(F.when(F.col("id") < 1500, 0).otherwise(F.col("id")).alias("k"), "id").write.parquet(f"{tmp_path}/left")
+    left = spark.read.parquet(f"{tmp_path}/left")
     right = spark.range(3000).groupBy((F.col("id") % 100).alias("k")).agg(F.max("id").alias("m"))
-    joined = joins.keyed_join(left, right, ["k"], "left", min_rows=500)
-    assert "Union" in plan_of(joined) and "BroadcastHashJoin" in plan_of(joined)
-    assert joined.count() == 3000
+    joined = joins.keyed_join(left, right, ["k"], "left", joins.heavy_keys(left, ["k"], min_rows=500), salts=8)
+    plan = plan_of(joined)
+    assert plan.count("FileScan") == 1 and "Union" not in plan and "_salt" in plan
+    assert joined.count() == 3000 and joined.where("k = 0 AND m = 2900").count() == 1500
+    # dealt out: no partition holds most of the heavy key
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        sizes = joins.keyed_join(left, right, ["k"], "left", joins.heavy_keys(left, ["k"], min_rows=500), salts=64).where("k = 0").groupBy(F.spark_partition_id()).count()
+        assert max(r["count"] for r in sizes.collect()) < 900
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+
+
+def test_a_join_without_heavy_keys_starts_no_job(spark):
+    left, right = spark.range(10).toDF("k"), spark.range(5).toDF("k")
+    spark.sparkContext.setJobGroup("quiet", "none")
+    joins.keyed_join(left, right, ["k"], "left_anti")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("quiet")
+
+
+@pytest.mark.parametrize("name", ["last_wins", "first_wins", "merged_outputs", "human_review_sheet"])
+def test_winners_are_found_without_their_texts(spark, name):
+    plan = plan_of(registry.QUERIES[name](spark, SF))
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_pairs_are_judged_without_sorting_texts(spark):
+    answers = spark.createDataFrame([("p", "t", "m", {"a": "b"}, 1)], "prompt_id STRING, text STRING, model STRING, metadata MAP<STRING,STRING>, seq INT")
+    prompts = spark.createDataFrame([("p", "q", "s", None)], "prompt_id STRING, prompt STRING, source STRING, metadata MAP<STRING,STRING>")
+    assert "SortAggregate" not in plan_of(preference.judge_pairs(prompts, answers, answers))
 
 
 def test_split_membership_needs_no_join(spark):
