@@ -377,6 +377,8 @@ ORACLES["generation_errors"] = f"""{with_views('turns')}
   SELECT prompt_id, CASE WHEN length({_ASKED}) % 2 = 1 THEN 2::BIGINT END AS attempt,
          CASE WHEN length({_ASKED}) % 2 = 1 THEN 'ValueError(''odd'')' ELSE 'fine' END AS text
   FROM turns"""
+ORACLES["resumed_generation"] = f"""{with_views('turns')}
+  SELECT prompt_id, CASE WHEN length({_ASKED}) % 2 = 0 THEN 'first' ELSE 'second' END AS model, length({_ASKED}) AS n_chars FROM turns"""
 ORACLES["expanded_prompts"] = f"""{with_views('turns')}
   , grown AS (SELECT prompt_id, unnest(CASE WHEN length(prompt) % 5 = 0 THEN [NULL] ELSE range(length(prompt) % 5) END) AS i FROM turns)
   SELECT prompt_id, CAST(i AS BIGINT) AS cand_ord, 'step ' || CAST(i AS VARCHAR) AS cand_text, CAST(-i / 4 AS DOUBLE) AS cand_logprob, i = 3 AS cand_complete FROM grown"""

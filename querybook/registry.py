@@ -558,6 +558,27 @@ def generated_answers(spark, sf_dir):
     return answers.select("prompt_id", "kind", "text", "model", *(F.col("metadata")[k].alias(k) for k in ("turn", "generator_logprob", "finish")))
 
 
+@query
+def resumed_generation(spark, sf_dir):
+    """A run stopped after the requests of even length; a second one with its log asks for the others only."""
+
+    def client(name: str):
+        class Client:
+            model = name
+
+            def expand(self, prompt: str, prefix: str, count: int):
+                return [(f"{len(prompt)}", -1.0, {"finish": "stop"})]
+
+        return Client
+
+    asked = requests.generation_requests(pair_inputs(spark, sf_dir)[0], "positive", "gen")
+    log = fresh_dir(spark, "generation-log")
+    scoring.run_generation(asked.where(F.length("generation_prompt") % 2 == 0), client("first"), log=log)
+    answers, errors = scoring.run_generation(asked, client("second"), log=log)
+    both = answers.select("prompt_id", "model", F.col("text").cast("long").alias("n_chars")).unionByName(errors.select("prompt_id", F.col("error").alias("model"), F.lit(0).cast("long").alias("n_chars")))
+    return both
+
+
 @query
 def generation_errors(spark, sf_dir):
     """A client that never answers requests of odd length: two attempts, then an error row."""

@@ -3,6 +3,7 @@
 import json
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,47 @@ def test_generation_resumes_retries_and_keeps_errors_as_rows(spark, tmp_path):
     assert [(r["prompt_id"], r["attempt"]) for r in rows(errors)] == [("p2", 3)]
 
 
+def counting_client(folder, dies_after=None):
+    class Client:
+        model = "counting"
+
+        def expand(self, prompt, prefix, count):
+            calls = len(os.listdir(folder))
+            if dies_after is not None and calls >= dies_after:
+                os._exit(1)  # as a lost executor does
+            open(os.path.join(folder, f"{calls}-{prompt}"), "w").close()
+            return [(f"answer to {prompt}", None, {"call": calls})]
+
+    return Client
+
+
+def test_a_killed_generation_goes_on_where_it_stopped(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    df = spark.createDataFrame([(f"p{i}", f"q{i}", f"ask {i}", "m", {}) for i in range(23)] + [("p0", "q0", "ask 0", "m", {})], REQUEST)
+    settings = {"partitions": 1, "log": str(tmp_path / "log"), "chunk": 5}
+    with pytest.raises(Exception):
+        scoring.run_generation(df, counting_client(str(calls), dies_after=10), **settings)
+    assert len(list(calls.iterdir())) == 10
+    answers, errors = scoring.run_generation(df, counting_client(str(calls)), **settings)
+    asked = [f.name.split("-")[1] for f in calls.iterdir()]
+    assert len(asked) == len(set(asked)) == 23  # no request was paid twice
+    assert answers.count() == 24 and errors.count() == 0  # a repeated request has its answer twice
+    more, _ = scoring.run_generation(df.limit(3), counting_client(str(calls), dies_after=0), partitions=4, log=settings["log"])
+    assert more.count() == 3
+
+
+def test_a_task_that_runs_again_reads_the_log(tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    batches = [pd.DataFrame({"request": [f"r{i}" for i in range(7)], "generation_prompt": [f"ask {i}" for i in range(7)]})]
+    run = scoring.answer_chunks(counting_client(str(calls)), scoring.ChunkLog(str(tmp_path)), 0, lambda s: None, 3)
+    first = pd.concat(run(iter(batches)))
+    again = pd.concat(run(iter(batches)))
+    assert first["asked"].sum() == 7 and again["asked"].sum() == 0 and again["found"].sum() == 7
+    assert len(list(calls.iterdir())) == 7 and len(list(tmp_path.glob("chunk-*"))) == 3 and not list(tmp_path.glob("_*"))
+
+
 def test_generation_run(spark, tmp_path):
     def open_client(mode):
         class Client:
