@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairwright.llm.shared import fold
+from pairwright.llm.shared import fold, landed
 
 WORD = re.compile(r"[^\W_]+")
 SAMPLE_ROWS = 16_384  # bound of the labelled sample
@@ -63,7 +63,9 @@ def maximal_segments(scored: list[tuple[int, float]], other: float, n: int) -> l
     ``scored`` lists the words with weights of their own; the words between them weigh
     ``other`` < 0, so no segment begins or ends with them.
     """
-    kept: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum up to the end
+    kept: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum up to the end, link
+    # the link of a segment is the nearest kept one before it with a smaller sum before; what
+    # lies between has none, so no search passes it again
     total, last = 0.0, -1
     for i, w in scored:
         total += other * (i - last - 1)
@@ -73,16 +75,17 @@ def maximal_segments(scored: list[tuple[int, float]], other: float, n: int) -> l
             continue
         start, left = i, total
         total += w
+        j = len(kept) - 1
         while True:
-            j = len(kept) - 1
             while j >= 0 and kept[j][2] >= left:
-                j -= 1
+                j = kept[j][4]
             if j < 0 or kept[j][3] >= total:
-                kept.append((start, i + 1, left, total))
+                kept.append((start, i + 1, left, total, j))
                 break
-            start, left = kept[j][0], kept[j][2]
+            start, _, left, _, link = kept[j]
             del kept[j:]
-    return [(s, e, right - left) for s, e, left, right in kept]
+            j = link
+    return [(s, e, right - left) for s, e, left, right, _ in kept]
 
 
 def _log_odds(counts: pd.DataFrame) -> pd.DataFrame:
@@ -132,7 +135,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Learn word weights, segment statistics and the calibration; without both labels every text scores the base rate."""
     spark_words = F.array_remove(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), "")
-    sample = labelled_sample(docs, labels, rows)
+    sample = landed(labelled_sample(docs, labels, rows), "toxicity-sample")  # read three times
     # words of one document only say nothing; the rest is bounded by the sample
     counted = (
         sample.where("NOT calibration").select("toxic", F.explode(F.array_distinct(spark_words)).alias("word")).groupBy("word")

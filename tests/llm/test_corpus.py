@@ -455,6 +455,19 @@ def test_maximal_segments_equal_brute_force():
         assert [(a, b, round(s, 9)) for a, b, s in toxicity.maximal_segments(scored, -0.25, n)] == brute(full)
 
 
+def test_maximal_segments_of_a_long_text_take_linear_time():
+    import time
+
+    for gap, weight in ((1, 1.0), (5, 1.0), (2, 0.5), (3, 6.0)):  # between and above what the neutral words weigh
+        started = time.perf_counter()
+        found = toxicity.maximal_segments([(i * (gap + 1), weight) for i in range(1_000_000)], -0.25, 1_000_000 * (gap + 1))
+        assert time.perf_counter() - started < 5 and found
+    rng = random.Random(5)
+    started = time.perf_counter()
+    assert toxicity.maximal_segments([(i * 6, rng.choice([1.0, 0.4, -0.3, 2.0])) for i in range(1_000_000)], -0.25, 6_000_000)
+    assert time.perf_counter() - started < 5
+
+
 def test_toxicity(spark, none, odd):
     rows, vocabulary, rng = corpus(600)
     bad = ["vile", "scum", "moron"]
