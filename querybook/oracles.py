@@ -103,6 +103,11 @@ ORACLES["answer_precedence"] = f"""{with_views('outputs')}
   {MEASURED.replace('FROM outputs', 'FROM chosen')}
   SELECT method, count(*) AS count, {', '.join(mean(n, n + '_mean') for n in _METRICS)} FROM measured GROUP BY method"""
 ORACLES["complete_evaluation"] = f"{with_views('outputs')}{MEASURED} SELECT {_OVERALL}, false AS early FROM measured GROUP BY method"
+ORACLES["stream_completeness"] = f"""{with_views('outputs')}
+  , wanted AS (SELECT DISTINCT prompt_id FROM outputs WHERE method = 'raw')
+  SELECT method, count(DISTINCT prompt_id) AS answered, 0::BIGINT AS missing, 'complete' AS status FROM outputs
+  WHERE NOT (method = 'beam' AND seq % 50 = 0) AND regexp_matches(final_answer, '\\S') AND prompt_id IN (SELECT prompt_id FROM wanted)
+  GROUP BY method HAVING count(DISTINCT prompt_id) = (SELECT count(*) FROM wanted)"""
 ORACLES["metric_map_summary"] = f"""{with_views('outputs')}{MEASURED}
   SELECT method, 'count' AS name, CAST(count(*) AS DOUBLE) AS value FROM measured GROUP BY method
   UNION ALL SELECT method, 'words', round(avg(word_count), 9) FROM measured GROUP BY method

@@ -17,7 +17,7 @@ from pairwright.schemas import METHOD_OUTPUT, PAIR, PROMPT, empty_map, typed
 from pairwright.session import fresh_dir
 from pairwright.sources import csv_tables, exports, jsonl, prompts as prompt_sources, score_cache
 from pairwright.sources.tables import read_table
-from pairwright.streaming import incremental
+from pairwright.streaming import completion, incremental
 from querybook.views import with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -433,6 +433,19 @@ def complete_evaluation(spark, sf_dir):
     return shaped(found.withColumn("early", F.lit(early is not None)))
 
 
+@query
+def stream_completeness(spark, sf_dir):
+    """Outputs replayed in several batches, some rows late, some twice: each method comes once, when it has answered all."""
+    outputs = outputs_of(spark, sf_dir).select("prompt_id", "method", "final_answer", "seq").where("NOT (method = 'beam' AND seq % 50 = 0)")
+    root = fresh_dir(spark, "completeness-stream")
+    for i, part in enumerate(("seq % 3 = 0", "seq % 3 = 1 OR seq % 6 = 0", "seq % 3 = 2", "true")):
+        outputs.where(part).coalesce(1).write.parquet(f"{root}/in/part={i}")
+    stream = spark.readStream.schema(outputs.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+    found = completion.finished_methods(stream, outputs_of(spark, sf_dir).where("method = 'raw'"))
+    completion.write_finished(found, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{root}/out")
+
+
 @query
 def merged_outputs(spark, sf_dir):
     return shaped(

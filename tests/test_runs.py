@@ -253,3 +253,43 @@ def test_evaluation_waits_for_complete_outputs(spark):
     assert found is None and report.first().missing_count == 1
     _, found = incremental.evaluate_when_complete(expected, lambda: {"m": (full, "text")}, lambda: full)
     assert found is full
+
+
+def test_a_method_is_reported_once_and_may_stall():
+    from pairwright.streaming import completion
+
+    class State:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    class Handle:
+        timers: list[int] = []
+
+        def getValueState(self, name, schema, ttl):
+            self.state = State()
+            return self.state
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Clock:
+        def getCurrentProcessingTimeInMs(self):
+            return 1000
+
+    def rows(*counts):
+        return iter([pd.DataFrame({"method": "m", "n": [n]}) for n in counts])
+
+    processor, handle = completion.Completion(5, 60, None), Handle()
+    processor.init(handle)
+    status = lambda frames: [tuple(r) for f in frames for r in f.itertuples(index=False)]
+    assert status(processor.handleInputRows(("m",), rows(2, 1), Clock())) == []
+    assert handle.timers == [1060]
+    assert status(processor.handleExpiredTimer(("m",), Clock(), None)) == [("m", 3, 2, "stalled")]
+    assert status(processor.handleInputRows(("m",), rows(2), Clock())) == [("m", 5, 0, "complete")]
+    assert status(processor.handleInputRows(("m",), rows(1), Clock())) == [] and handle.timers == [1060]
+    assert status(processor.handleExpiredTimer(("m",), Clock(), None)) == []
