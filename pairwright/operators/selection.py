@@ -5,6 +5,7 @@ every prompt at once.  A prompt holds only what its generator returned in a step
 ranking is one aggregation with small groups.
 """
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,7 +19,8 @@ from pairwright.session import ensure_checkpoint_dir
 
 # An expander takes open beams (prompt_id, prompt, prefix and any other columns) and a count;
 # it returns every input row once per continuation with cand_ord, cand_text, cand_logprob and
-# cand_complete added, or once with nulls there if it has no continuation.
+# cand_complete added, or once with nulls there if it has no continuation; call_ms, if it is
+# there too, is the generator's time and is summed up as the decoding's latency.
 Expander = Callable[[DataFrame, int], DataFrame]
 
 BRANCH = [
@@ -77,27 +79,32 @@ def scripted_expander(script: DataFrame, by_prompt: bool = False) -> Expander:
 
 
 def client_expander(open_client: Callable[[], object]) -> Expander:
-    """Continuations from a client with ``expand(prompt, prefix, count)`` -> (text, logprob, is_complete) tuples."""
+    """Continuations from a client with ``expand(prompt, prefix, count)`` -> (text, logprob, is_complete) tuples.
+
+    ``call_ms`` is the time of the call, on the first row that it gave; 0 on its others.
+    """
 
     def expand(beams: DataFrame, count: int) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             client = open_client()
             for batch in batches:
-                found = [
-                    list(client.expand(p, x, count)) or [(None, None, None)]
-                    for p, x in zip(batch["prompt"], batch["prefix"])
-                ]
+                found, spent = [], []
+                for p, x in zip(batch["prompt"], batch["prefix"]):
+                    started = time.perf_counter()
+                    found.append(list(client.expand(p, x, count)) or [(None, None, None)])
+                    spent += [1000 * (time.perf_counter() - started), *[0.0] * (len(found[-1]) - 1)]
                 out = batch.loc[batch.index.repeat([len(f) for f in found])].reset_index(drop=True)
                 flat = [(i, *c) for f in found for i, c in enumerate(f)]
                 out["cand_ord"] = [i if text is not None else None for i, text, _, _ in flat]
                 out["cand_text"] = [text for _, text, _, _ in flat]
                 out["cand_logprob"] = [logprob for _, _, logprob, _ in flat]
                 out["cand_complete"] = [done for _, _, _, done in flat]
+                out["call_ms"] = spent
                 yield out
 
         ddl = ", ".join(f"`{name}` {kind}" for name, kind in beams.dtypes)
         return beams.mapInPandas(
-            run, f"{ddl}, cand_ord INT, cand_text STRING, cand_logprob DOUBLE, cand_complete BOOLEAN"
+            run, f"{ddl}, cand_ord INT, cand_text STRING, cand_logprob DOUBLE, cand_complete BOOLEAN, call_ms DOUBLE"
         )
 
     return expand
@@ -149,8 +156,9 @@ def _ranked_step(candidates: DataFrame, beam_width: int, step: int, keys: tuple[
     """
     key = F.struct((-F.col("branch.total_score")).alias("k"), "place", "branch")
     prompt = [] if "prompt" in keys else [F.min("prompt").alias("prompt")]
+    timed = [F.sum("call_ms").alias("call_ms")] if "call_ms" in candidates.columns else []
     ranked = candidates.groupBy(*keys).agg(
-        *prompt, F.array_sort(F.collect_list(key)).alias("values"), F.sum(F.col("scored").cast("int")).alias("calls")
+        *prompt, *timed, F.array_sort(F.collect_list(key)).alias("values"), F.sum(F.col("scored").cast("int")).alias("calls")
     )
     kept = F.slice("candidates", 1, beam_width)
     return (
@@ -176,6 +184,7 @@ def _results(steps: DataFrame, parameters: dict[str, float], keys: tuple[str, ..
         F.max_by(kept, "step_index").alias("branches"),
         F.sum("calls").alias("verifier_call_count"),
         F.array_sort(F.collect_list(trace)).alias("steps"),
+        *([F.sum("call_ms").alias("latency_ms")] if "call_ms" in steps.columns else []),
     )
     best = F.col("branches")[0]
     return per_prompt.select(
@@ -187,6 +196,7 @@ def _results(steps: DataFrame, parameters: dict[str, float], keys: tuple[str, ..
         "verifier_call_count",
         "branches",
         "steps",
+        *(["latency_ms"] if "latency_ms" in per_prompt.columns else []),
         F.create_map(*(F.lit(x) for k, v in parameters.items() for x in (k, str(v)))).alias("decoding_parameters"),
     )
 
@@ -282,15 +292,17 @@ def beam(
             F.concat("b.text", "cand_text").alias("text"),
             (F.col("b.generator_logprob") + F.coalesce("cand_logprob", F.lit(0.0))).alias("logprob"),
             F.col("cand_complete").alias("is_complete"),
+            *(["call_ms"] if "call_ms" in expanded.columns else []),
         )
+        timed = ["call_ms"] if "call_ms" in expanded.columns else []
         candidates = (
             _measured(grown, scorer, length_weight, repeat_weight)
             .select(
-                *ROW, "place", F.when(F.col("scored"), _branch(beta)).otherwise(F.col("stopped")).alias("branch"), "scored"
+                *ROW, "place", F.when(F.col("scored"), _branch(beta)).otherwise(F.col("stopped")).alias("branch"), "scored", *timed
             )
             .unionByName(
                 beams.where(~is_open).select(
-                    *ROW, place.alias("place"), F.col("b").alias("branch"), F.lit(False).alias("scored")
+                    *ROW, place.alias("place"), F.col("b").alias("branch"), F.lit(False).alias("scored"), *(F.lit(0.0).alias(c) for c in timed)
                 )
             )
         )

@@ -382,6 +382,9 @@ ORACLES["generation_errors"] = f"""{with_views('turns')}
   SELECT prompt_id, CASE WHEN length({_ASKED}) % 2 = 1 THEN 2::BIGINT END AS attempt,
          CASE WHEN length({_ASKED}) % 2 = 1 THEN 'ValueError(''odd'')' ELSE 'fine' END AS text
   FROM turns"""
+# three candidates of a first step, then three below each of the two best, all of one score but for the log-probability
+ORACLES["decode_latency"] = f"""{with_views('turns')}
+  SELECT prompt_id, true AS took_time, 9::BIGINT AS verifier_call_count, 'part 0 part 0' AS final_answer FROM turns"""
 ORACLES["resumed_generation"] = f"""{with_views('turns')}
   SELECT prompt_id, CASE WHEN length({_ASKED}) % 2 = 0 THEN 'first' ELSE 'second' END AS model, length({_ASKED}) AS n_chars FROM turns"""
 ORACLES["expanded_prompts"] = f"""{with_views('turns')}

@@ -1,5 +1,6 @@
 """The registered queries: each runs an operator over whole given tables."""
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
@@ -839,6 +840,21 @@ def kept_branches(spark, sf_dir):
     return shaped(kept)
 
 
+@query
+def decode_latency(spark, sf_dir):
+    """Cost of a decoding run through a client: its calls take time, which the records keep."""
+
+    class SlowClient:
+        def expand(self, prompt: str, prefix: str, count: int):
+            time.sleep(0.001)
+            return [(f"{prefix and ' '}part {i}", -float(i), len(prefix) > 0) for i in range(count)]
+
+    asked = pair_inputs(spark, sf_dir)[0].select("prompt_id", "prompt")
+    found = selection.beam(asked, selection.client_expander(SlowClient), scoring.rule_scorer(["part"]), beam_width=2, expansions=3, max_steps=2)
+    records = selection.inference_records(found, "slow", "rule")
+    return records.select("prompt_id", (F.col("latency_ms") >= 3.0).alias("took_time"), "verifier_call_count", "final_answer")
+
+
 @query
 def first_traced(spark, sf_dir):
     """First kept and first pruned branch of every record."""
