@@ -1,7 +1,8 @@
 """Rule-driven answer checks: a list of (code, severity, predicate) evaluated per row.
 
 A predicate maps the answer text to a boolean, or to a number when a rule can fire more
-than once.  Everything is row-local, so a check is one scan without a shuffle.
+than once; a predicate on sentences gets the text's sentences, split once for all rules.
+Everything is row-local, so a check is one scan without a shuffle.
 """
 
 from collections.abc import Callable
@@ -19,26 +20,37 @@ class Rule(NamedTuple):
     code: str
     severity: str
     fires: Callable[[Column], Column]
+    on_sentences: bool = False  # ``fires`` takes the array of sentences in place of the text
 
 
 def _has(text: Column, literal: str) -> Column:
     return F.contains(text, F.lit(literal))
 
 
+def _has_all(text: Column, literals: list[str]) -> Column:
+    found = F.lit(True)
+    for literal in literals:
+        found = found & _has(text, literal)
+    return found
+
+
 def _pattern(*alternatives: str, flags: str = "U") -> Column:
     """A pattern with Unicode whitespace, word and digit classes."""
     return F.lit(f"(?{flags})" + "|".join(alternatives).replace(r"\s", WS))
 
 
-def wrong_direction(text: Column, patterns: list[str]) -> Column:
-    """Number of sentences that claim a wrong copy direction; memcpy-only sentences do not count."""
+def wrong_direction(split: Column, patterns: list[str], literals: list[str]) -> Column:
+    """Number of sentences that claim a wrong copy direction; memcpy-only sentences do not count.
+
+    ``literals`` are parts that every match holds and that no folding of case changes: a
+    sentence without them is not searched.
+    """
     pattern = _pattern(*patterns, flags="iuU")
-    return F.size(
-        F.filter(
-            sentences(text),
-            lambda s: ~(_has(s, "memcpy") & ~_has(s, "memmove")) & F.regexp_like(s, pattern),
-        )
-    )
+
+    def claims(s: Column) -> Column:
+        return _has_all(s, literals) & ~(_has(s, "memcpy") & ~_has(s, "memmove")) & F.regexp_like(s, pattern)
+
+    return F.size(F.filter(split, claims))
 
 
 def _subject(sentence: Column) -> Column:
@@ -52,7 +64,7 @@ def _claims_temporary(lowered: Column) -> Column:
     return _has(lowered, "temporary") & (_has(lowered, "as if") | _has(lowered, "temporary array"))
 
 
-def temporary_buffer_claim(text: Column) -> Column:
+def temporary_buffer_claim(split: Column) -> Column:
     """Does a sentence about memcpy alone give it the temporary-array guarantee?
 
     The subject is carried over to sentences that name neither function; the fold over
@@ -69,19 +81,29 @@ def temporary_buffer_claim(text: Column) -> Column:
         )
 
     start = F.struct(F.lit("").alias("subject"), F.lit(False).alias("found"))
-    return F.aggregate(sentences(text), start, step, lambda s: s["found"])
+    return F.aggregate(split, start, step, lambda s: s["found"])
 
 
 def carried_subjects(answers: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per sentence with the carried-over subject (table form of the same rule)."""
-
-    def carry(state: Column, sentence: Column) -> Column:
-        subject = F.coalesce(_subject(sentence), F.try_element_at(state, F.lit(-1))["subject"], F.lit(""))
-        return F.concat(state, F.array(F.struct(sentence.alias("sentence"), subject.alias("subject"))))
+    """One row per sentence with the carried-over subject (table form of the same rule).
 
-    start = F.expr("CAST(array() AS ARRAY<STRUCT<sentence: STRING, subject: STRING>>)")
-    folded = F.aggregate(sentences(F.col(text)), start, carry)  # within the row: nothing is shuffled
-    return answers.select(key, F.posexplode(folded).alias("pos", "s")).select(key, "pos", "s.sentence", "s.subject")
+    The sentences between two that name a function form a run of one subject, so a text is
+    cut into runs and each sentence copied once.
+    """
+    split = answers.select(F.col(key).alias(key), sentences(F.col(text)).alias("split"))
+    named = F.filter(
+        F.transform("split", lambda s, i: F.struct(i.alias("start"), _subject(s).alias("subject"))),
+        lambda m: m["subject"].isNotNull(),
+    )
+    split = split.withColumn("marks", F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit("").alias("subject"))), named))
+    ends = F.concat(F.transform(F.slice("marks", F.lit(2), F.size("marks")), lambda m: m["start"]), F.array(F.size("split")))
+    runs = F.zip_with(
+        "marks", ends,
+        lambda m, end: F.struct(m["start"], m["subject"], F.slice("split", m["start"] + 1, end - m["start"]).alias("within")),
+    )
+    run = split.where(F.col("split").isNotNull()).select(key, F.explode(runs).alias("run"))
+    placed = run.select(key, "run.start", "run.subject", F.posexplode("run.within").alias("place", "sentence"))
+    return placed.select(key, (F.col("start") + F.col("place")).alias("pos"), "sentence", "subject")
 
 
 def default_rules() -> list[Rule]:
@@ -108,24 +130,20 @@ def default_rules() -> list[Rule]:
         Rule("literal_array_write", FAIL, lambda t: F.regexp_like(t, _pattern(fixed.LITERAL_ARRAY_WRITE, flags="sU"))),
         Rule("out_of_bounds_copy", FAIL, lambda t: F.regexp_like(t, _pattern(fixed.OUT_OF_BOUNDS_COPY))),
         Rule("runtime_called_ill_formed", FAIL, lambda t: _has(low(t), "ill-formed")),
-        Rule("memcpy_temporary_guarantee", FAIL, temporary_buffer_claim),
-        Rule("shift_output_inconsistent", FAIL, lambda t: _has(t, "memmove(buf + 2, buf + 1, 3)") & _has(t, "abbcde")),
+        Rule("memcpy_temporary_guarantee", FAIL, temporary_buffer_claim, True),
+        Rule("shift_output_inconsistent", FAIL, lambda t: _has_all(t, fixed.SHIFT_OUTPUT)),
         Rule(
             "shift_drops_suffix",
             FAIL,
-            lambda t: _has(t, "memmove(buf + 1, buf, 3)")
-            & _has(t, 'printf("%s')
-            & _has(t, '"aabc"')
-            & ~_has(t, "aabcef"),
+            lambda t: _has_all(t, fixed.SHIFT_SUFFIX) & ~_has(t, fixed.SHIFT_SUFFIX_RIGHT),
         ),
         Rule(
             "backward_for_lower_dest",
             FAIL,
-            lambda t: _has(t, "memmove(buf + 3, buf + 5, 5)")
-            & (_has(low(t), "copies backward") | _has(low(t), "copying backward")),
+            lambda t: _has(t, fixed.LOWER_DEST_CALL) & (_has(low(t), "copies backward") | _has(low(t), "copying backward")),
         ),
-        Rule("backward_when_dest_lower", FAIL, lambda t: wrong_direction(t, fixed.BACKWARD_WHEN_DEST_LOWER)),
-        Rule("forward_when_dest_higher", FAIL, lambda t: wrong_direction(t, fixed.FORWARD_WHEN_DEST_HIGHER)),
+        Rule("backward_when_dest_lower", FAIL, lambda s: wrong_direction(s, fixed.BACKWARD_WHEN_DEST_LOWER, ["<"]), True),
+        Rule("forward_when_dest_higher", FAIL, lambda s: wrong_direction(s, fixed.FORWARD_WHEN_DEST_HIGHER, [">"]), True),
         Rule("no_limitation_note", FAIL, lambda t: ~_has(low(t), "limitation")),
         Rule(
             "no_undefined_behavior_note",
@@ -138,10 +156,14 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def _codes(text: Column, rules: list[Rule], kinds: dict[str, str]) -> Column:
+def _fires(rule: Rule, text: Column, split: Column) -> Column:
+    return rule.fires(split if rule.on_sentences else text)
+
+
+def _codes(text: Column, split: Column, rules: list[Rule], kinds: dict[str, str]) -> Column:
     found = []
     for rule in rules:
-        fires = rule.fires(text)
+        fires = _fires(rule, text, split)
         times = fires if kinds[rule.code] == "int" else F.when(fires, 1).otherwise(0)
         found.append(F.array_repeat(F.lit(rule.code), times))
     return F.flatten(F.array(*found)) if found else F.expr("CAST(array() AS ARRAY<STRING>)")
@@ -156,16 +178,16 @@ def validate_answers(
     """Add ``failures`` and ``warnings`` code arrays to each answer row."""
     rules = default_rules() if rules is None else rules
     text = F.coalesce(F.col("text"), F.lit(""))
-    probe = answers.select(*(r.fires(text).alias(r.code) for r in rules))
-    kinds = dict(probe.dtypes)
-    failures = _codes(text, [r for r in rules if r.severity == FAIL], kinds)
+    split = F.col("split_")
+    held = answers.withColumn("split_", sentences(text))
+    kinds = dict(held.select(*(_fires(r, text, split).alias(r.code) for r in rules)).dtypes)
+    failures = _codes(text, split, [r for r in rules if r.severity == FAIL], kinds)
     for column, wanted in (("kind", kind), ("model", model)):
         if wanted is not None:
             wrong = F.lit(True) if column not in answers.columns else ~F.col(column).eqNullSafe(F.lit(wanted))
             failures = F.concat(F.array_repeat(F.lit(f"wrong_{column}"), F.when(wrong, 1).otherwise(0)), failures)
-    return answers.withColumns(
-        {"failures": failures, "warnings": _codes(text, [r for r in rules if r.severity == WARN], kinds)}
-    )
+    warnings = _codes(text, split, [r for r in rules if r.severity == WARN], kinds)
+    return held.withColumns({"failures": failures, "warnings": warnings}).drop("split_")
 
 
 def answer_stats(answers: DataFrame, expected_count: int | None = None) -> DataFrame:

@@ -40,11 +40,15 @@ def _all_outputs(outputs: Outputs, order: str) -> DataFrame:
 
 
 def merge_outputs(expected: DataFrame, outputs: Outputs, order: str = "seq") -> DataFrame:
-    """One row per expected prompt and method that answered it; a method's last answer wins."""
+    """One row per expected prompt and method that answered it; a method's last answer wins.
+
+    ``position`` is the method's place; ``place`` is the prompt's, where ``expected`` has ``order``.
+    """
+    place = [F.col(order).alias("place")] if order in expected.columns else []
     position = F.array_position(F.array(*map(F.lit, outputs)), F.col("method"))
     latest = last_by_key(_all_outputs(outputs, order), ["prompt_id", "method"], "seq").drop("seq")
     wanted = expected.select(
-        F.col("prompt_id").cast("string").alias("prompt_id"), F.explode(F.array(*map(F.lit, outputs))).alias("method")
+        F.col("prompt_id").cast("string").alias("prompt_id"), F.explode(F.array(*map(F.lit, outputs))).alias("method"), *place
     )
     return keyed_join(wanted, latest, ["prompt_id", "method"], "inner").withColumn("position", position)
 

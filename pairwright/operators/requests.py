@@ -30,7 +30,7 @@ def generation_requests(
     prompts: DataFrame, mode: str, model: str, instructions: Mapping[str, str] = INSTRUCTIONS
 ) -> DataFrame:
     if mode not in instructions:
-        raise ValueError(f"Unsupported generation mode: {mode}")
+        raise ValueError(f"no instruction for mode {mode!r}, only for {sorted(instructions)}")
     return prompts.select(
         "prompt_id",
         F.col("prompt").alias("source_prompt"),

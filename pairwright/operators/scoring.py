@@ -53,13 +53,14 @@ def score_pairs(pairs: DataFrame, scorer: Scorer) -> DataFrame:
     )
 
 
-def score_outputs(outputs: DataFrame, scorer: Scorer) -> DataFrame:
-    """Score rows of merged method outputs."""
+def score_outputs(outputs: DataFrame, scorer: Scorer, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Score rows of merged method outputs; ``keep`` names further columns of theirs."""
     return outputs.select(
         "prompt_id",
         "method",
         scorer(column_or(outputs, "prompt", ""), answer_of(outputs)).alias("score"),
         column_or(outputs, "source_run_id", "").alias("source_run_id"),
+        *keep,
     )
 
 

@@ -320,30 +320,55 @@ def lookahead_select(level1: DataFrame, level2: DataFrame, budget: int = 32, bet
 
     ``keys`` of both tables tell the searches apart.
 
-    ``level1``: prompt_id, ord (from 0), text, logprob, reward.  ``level2``: prompt_id,
-    parent_ord, logprob (of the whole path), reward, for the children that were expanded.
+    ``level1``: prompt_id, ord (from 0), text, logprob, reward and optionally is_complete.
+    ``level2``: prompt_id, parent_ord, logprob (of the whole path), reward, for the children
+    that were expanded.  Rows of level1 without a text and rows of level2 whose ``found`` is
+    false stand for calls that gave nothing.  ``call_ms``, where a level has it, adds up to
+    ``latency_ms``.
+
     Only the first ``budget`` children are visited; a visited child is worth the best total
     below it, or its own total if there is nothing below.  A missing log-probability counts
-    as 0, a missing reward is an error.
+    as 0, a missing reward is an error.  ``branches`` lists the children in order, as the
+    beam's branches, ``branch_values`` what they are worth.
     """
     if budget < 1:
         raise ValueError("budget must be at least 1")
     reward = F.coalesce("reward", F.raise_error(F.lit("a candidate has no score")).cast("double"))
-    total = F.coalesce("logprob", F.lit(0.0)) + F.lit(float(beta)) * reward
+    logprob = F.coalesce("logprob", F.lit(0.0))
+    total = logprob + F.lit(float(beta)) * reward
+    found = F.col("found") if "found" in level2.columns else F.lit(True)
+    timed = "call_ms" in level1.columns
+    time_of = lambda level: [F.sum("call_ms").alias("ms_below")] if "call_ms" in level.columns else []
     below = level2.groupBy(F.struct(*keys).alias("key"), F.col("parent_ord").alias("ord")).agg(
-        F.max(total).alias("best_below"), F.count(F.lit(1)).alias("calls_below")
+        F.max(F.when(found, total)).alias("best_below"), F.count_if(found).alias("calls_below"), *time_of(level2)
     )
-    children = level1.select(F.struct(*keys).alias("key"), "ord", "text", total.alias("total")).join(below, ["key", "ord"], "left")
+    nothing = {"stopped_reason": "string", "word_count": "int", "repeated_line_count": "int", "length_penalty": "double", "repeated_line_penalty": "double"}
+    is_complete = F.coalesce("is_complete", F.lit(False)) if "is_complete" in level1.columns else F.lit(False)
+    is_child = F.col("text").isNotNull()
+    branch = F.struct(
+        "text", logprob.alias("generator_logprob"), F.col("reward").alias("verifier_reward"), F.col("total").alias("total_score"),
+        is_complete.alias("is_complete"), *(F.lit(None).cast(kind).alias(name) for name, kind in nothing.items()),
+    )
+    children = level1.withColumn("total", F.when(is_child, total)).select(
+        F.struct(*keys).alias("key"), "ord", "text", "total", branch.alias("branch"), *(["call_ms"] if timed else [])
+    ).join(below, ["key", "ord"], "left")
     visited = F.col("ord") < budget
     value = F.when(visited, F.coalesce("best_below", "total")).otherwise(F.col("total"))
-    calls = F.lit(1) + F.when(visited, F.coalesce("calls_below", F.lit(0))).otherwise(0)
-    best = F.max_by(F.struct("text", "total"), F.struct(value.alias("v"), "total", -F.col("ord")))
-    return children.groupBy("key").agg(best.alias("b"), F.sum(calls).alias("verifier_call_count")).select(
+    calls = F.when(is_child, F.lit(1) + F.when(visited, F.coalesce("calls_below", F.lit(0))).otherwise(0)).otherwise(0)
+    best = F.max_by(F.struct("text", "total"), F.when(is_child, F.struct(value.alias("v"), "total", -F.col("ord"))))
+    listed = F.array_sort(F.collect_list(F.when(is_child, F.struct("ord", "branch", value.alias("value")))))
+    spent = [F.sum(c) for c in ("call_ms", "ms_below") if c in children.columns]
+    latency = [sum((F.coalesce(s, F.lit(0.0)) for s in spent[1:]), F.coalesce(spent[0], F.lit(0.0))).alias("latency_ms")] if spent else []
+    grouped = children.groupBy("key").agg(best.alias("b"), F.sum(calls).alias("verifier_call_count"), listed.alias("listed"), *latency)
+    return grouped.select(
         "key.*",
         strip(F.col("b.text")).alias("final_answer"),
         F.col("b.total").alias("final_score"),
         F.lit("ttc_mcts").alias("method"),
         "verifier_call_count",
+        F.transform("listed", lambda c: c["branch"]).alias("branches"),
+        F.transform("listed", lambda c: c["value"]).alias("branch_values"),
+        *(["latency_ms"] if latency else []),
     )
 
 
@@ -361,25 +386,33 @@ def lookahead(
         raise ValueError("expansions must be at least 1")
     ensure_checkpoint_dir(prompts.sparkSession)
     roots = _numbered(prompts).withColumn("prefix", F.lit(""))
-    children = expander(roots, expansions).where(F.col("cand_text").isNotNull()).select(
+    asked = expander(roots, expansions)
+    timed = ["call_ms"] if "call_ms" in asked.columns else []
+    has_text = F.col("cand_text").isNotNull()
+    children = asked.select(
         *ROW,
         F.col("cand_ord").alias("ord"),
         F.col("cand_text").alias("text"),
         F.col("cand_logprob").alias("logprob"),
         F.coalesce("cand_complete", F.lit(False)).alias("is_complete"),
-        scorer(F.col("prompt"), F.col("cand_text")).alias("reward"),
+        F.when(has_text, scorer(F.col("prompt"), F.col("cand_text"))).alias("reward"),
+        *timed,
     ).checkpoint()
-    visited = children.where(~F.col("is_complete") & (F.col("ord") < budget)).select(
+    visited = children.where(F.col("text").isNotNull() & ~F.col("is_complete") & (F.col("ord") < budget)).select(
         *ROW, "ord", F.col("text").alias("prefix"), F.col("logprob").alias("path_logprob")
     )
-    below = expander(visited, expansions).where(F.col("cand_text").isNotNull()).select(
+    below = expander(visited, expansions).select(
         *ROW,
         F.col("ord").alias("parent_ord"),
         (F.coalesce("path_logprob", F.lit(0.0)) + F.coalesce("cand_logprob", F.lit(0.0))).alias("logprob"),
-        scorer(F.col("prompt"), F.concat("prefix", "cand_text")).alias("reward"),
+        F.when(has_text, scorer(F.col("prompt"), F.concat("prefix", "cand_text"))).alias("reward"),
+        has_text.alias("found"),
+        *timed,
     )
     key = F.struct(*ROW).alias("key")  # a struct equals another with the same nulls
     chosen = lookahead_select(children, below, budget, beta, ROW).withColumn("key", key).drop(*ROW)
+    parameters = {"expansions_per_node": expansions, "simulation_budget": budget, "beta": beta}
+    none = lambda name: F.coalesce(name, F.array().cast(chosen.schema[name].dataType)).alias(name)
     return roots.select("prompt_id", "prompt", key).join(chosen, "key", "left").select(
         "prompt_id",
         "prompt",
@@ -387,6 +420,10 @@ def lookahead(
         F.coalesce("final_score", F.lit(0.0)).alias("final_score"),
         F.lit("ttc_mcts").alias("method"),
         F.coalesce("verifier_call_count", F.lit(0)).alias("verifier_call_count"),
+        none("branches"),
+        none("branch_values"),
+        *([F.coalesce("latency_ms", F.lit(0.0)).alias("latency_ms")] if timed else []),
+        F.create_map(*(F.lit(x) for k, v in parameters.items() for x in (k, str(v)))).alias("decoding_parameters"),
     )
 
 
@@ -406,11 +443,20 @@ def ucb_rank(visits: DataFrame, weight: float = 1.4) -> DataFrame:
 
 
 def inference_records(results: DataFrame, generator_model: str, verifier_model: str) -> DataFrame:
-    """Decoding results as inference records."""
+    """Decoding results as inference records; those of the beam and of the lookahead have one schema.
+
+    ``branch_values`` is what the lookahead found each branch to be worth, empty for the beam.
+    """
     nothing = F.lit(None).cast("long")
+    branch = (
+        "STRUCT<text: STRING, generator_logprob: DOUBLE, verifier_reward: DOUBLE, total_score: DOUBLE, is_complete: BOOLEAN, "
+        "stopped_reason: STRING, word_count: INT, repeated_line_count: INT, length_penalty: DOUBLE, repeated_line_penalty: DOUBLE>"
+    )
+    empty = lambda kind: F.expr(f"CAST(array() AS ARRAY<{kind}>)")
     optional = {
-        "branches": F.expr("CAST(array() AS ARRAY<STRING>)"),
-        "steps": F.expr("CAST(array() AS ARRAY<STRING>)"),
+        "branches": empty(branch),
+        "branch_values": empty("DOUBLE"),
+        "steps": empty(f"STRUCT<step_index: INT, candidates: ARRAY<{branch}>, kept: ARRAY<{branch}>, pruned: ARRAY<{branch}>>"),
         "decoding_parameters": F.expr("CAST(map() AS MAP<STRING,STRING>)"),
         "latency_ms": F.lit(0.0),
     }
@@ -425,6 +471,7 @@ def inference_records(results: DataFrame, generator_model: str, verifier_model:
         "final_answer",
         "final_score",
         of("branches").alias("branch_scores"),
+        of("branch_values").alias("branch_values"),
         of("steps").alias("step_traces"),
         "verifier_call_count",
         of("latency_ms").alias("latency_ms"),

@@ -75,7 +75,7 @@ def split_by_id(
     result several times does not look for them again.
     """
     if train_ratio < 0 or val_ratio < 0 or train_ratio + val_ratio > 1:
-        raise ValueError("train_ratio and val_ratio leave no room for test records")
+        raise ValueError("train_ratio and val_ratio must not be negative nor add up to more than 1")
     ids = df.select(F.col(key).cast("string").alias(key)).distinct().select(_order(key, seed).alias("o"))
     cuts = cut_points(ids, train_ratio, val_ratio).first()
     here = _order(key, seed)

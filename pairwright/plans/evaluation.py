@@ -52,10 +52,15 @@ def guardrail_evaluation(outputs: DataFrame, prompts: DataFrame, root: str | Non
 def merge_score_compare(
     expected: DataFrame, outputs: Outputs, scorer: Scorer, candidate: str, references: list[str], order: str = "seq"
 ) -> dict[str, DataFrame]:
-    """Merged outputs, completeness, scores, score summary and win/loss table."""
+    """Merged outputs, completeness, scores, score summary and win/loss table.
+
+    Merged rows come prompt by prompt as ``expected`` orders them, a prompt's methods in the
+    order of ``outputs``; without an order there they are taken by prompt id.
+    """
     merged = merge_outputs(expected, outputs, order)
-    # merged rows are unique per prompt and method, their method position serves as sequence
-    scores = score_outputs(merged, scorer).withColumn("seq", F.lit(0)).persist(StorageLevel.MEMORY_AND_DISK)
+    place = F.col("place") if "place" in merged.columns else F.lit(0)
+    arrival = F.struct(place.cast("long").alias("place"), F.col("position"))
+    scores = score_outputs(merged.withColumn("seq", arrival), scorer, ("seq",)).persist(StorageLevel.MEMORY_AND_DISK)
     return {
         "merged": merged,
         "completeness": completeness_report(expected, outputs, order),

@@ -1,12 +1,13 @@
 """Preference preparation from prompt and answer tables to exports."""
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from pairwright.operators.checks import check_columns
 from pairwright.operators.preference import build_preference_pairs
-from pairwright.operators.requests import generation_requests
+from pairwright.operators.requests import column_or, generation_requests
 from pairwright.operators.scoring import Scorer, run_generation, score_pairs, validate_scores
 from pairwright.operators.splits import split_by_id
 from pairwright.sources.exports import export_preferences, export_reward, export_sft
@@ -50,11 +51,13 @@ def generation_run(
             generation_requests(prompts, mode, model), open_client(mode), earlier, **settings
         )
         path = f"{root}/answers_{mode}"
+        # the time of the append orders the runs of one root; answers of no known run come first
+        fresh = fresh.withColumn("seq", F.lit(time.time_ns()))
         append_jsonl(fresh, path)
-        landed = spark.read.schema(fresh.schema).json(path).selectExpr("*", "1 AS seq")
+        landed = spark.read.schema(fresh.schema).json(path)
         answers[mode] = (
             landed if earlier is None
-            else earlier.select(*fresh.columns).selectExpr("*", "0 AS seq").unionByName(landed)
+            else earlier.withColumn("seq", column_or(earlier, "seq", 0).cast("long")).select(*fresh.columns).unionByName(landed)
         )
     split, report = prepare_preferences(prompts, answers["positive"], answers["negative"], root=f"{root}/preference")
     export_reward(split, f"{root}/rm", name)

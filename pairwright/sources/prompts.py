@@ -25,7 +25,7 @@ def generate_prompts(
 ) -> DataFrame:
     """Prompts from every (topic and concept, scenario, requirement, task), the last varying fastest."""
     if limit < 1:
-        raise ValueError("limit must be at least 1")
+        raise ValueError(f"cannot make {limit} prompts")
     size = len(topics) * len(scenarios) * len(requirements) * len(tasks)
     n = F.col("id")
     task = n % len(tasks)
@@ -57,7 +57,7 @@ def guardrail_prompts(
 ) -> DataFrame:
     """Guardrail cases repeated in turn up to ``limit`` prompts."""
     if limit < 1:
-        raise ValueError("limit must be at least 1")
+        raise ValueError(f"cannot make {limit} prompts")
     case = F.element_at(
         F.array(
             *(

@@ -281,11 +281,11 @@ MERGED = """, latest AS (
            coalesce(max(latency_ms), 0) AS latency_ms, max(verifier_call_count) AS verifier_call_count
     FROM runs GROUP BY ALL)
 , merged AS (
-    SELECT e.prompt_id, l.prompt, l.method, l.final_answer, l.latency_ms, CAST(l.verifier_call_count AS DOUBLE) AS verifier_call_count
+    SELECT e.prompt_id, e.seq AS place, l.prompt, l.method, l.final_answer, l.latency_ms, CAST(l.verifier_call_count AS DOUBLE) AS verifier_call_count
     FROM expected e JOIN latest l ON l.prompt_id = e.prompt_id)"""
 ORACLES["merged_outputs"] = f"""{RUNS}{MERGED}
   SELECT prompt_id, prompt, method, round(latency_ms, 9) AS latency_ms, round(verifier_call_count, 9) AS verifier_call_count,
-         '' AS source_model, '' AS source_run_id, CAST(list_position({METHODS!r}, method) AS BIGINT) AS position, md5(final_answer) AS answer_md5
+         '' AS source_model, '' AS source_run_id, CAST(list_position({METHODS!r}, method) AS BIGINT) AS position, place, md5(final_answer) AS answer_md5
   FROM merged"""
 ORACLES["id_differences"] = f"""{RUNS}
   , a AS (SELECT DISTINCT prompt_id FROM expected), b AS (SELECT DISTINCT prompt_id FROM runs WHERE method = 'sft')
@@ -326,8 +326,8 @@ ORACLES["regressions"] = f"""{with_views('outputs', 'scores')}{wide('scores')}
   FROM wide w JOIN outputs c ON c.prompt_id = w.prompt_id AND c.method = 'penalty' JOIN outputs b ON b.prompt_id = w.prompt_id AND b.method = 'beam'
   WHERE w.penalty - w.beam < 0 ORDER BY w.penalty - w.beam, w.prompt_id LIMIT 12"""
 ORACLES["merge_score_compare"] = f"""{RUNS}{MERGED}
-  , scored AS (SELECT prompt_id, method, 0 AS seq, {rule_reward('final_answer', REWARDS, PENALTIES)} AS score FROM merged){wide('scored')} """ + " UNION ALL ".join(
-    against("penalty", r, ids=False) for r in ("raw", "beam")
+  , scored AS (SELECT prompt_id, method, place * 10 + list_position({METHODS!r}, method) AS seq, {rule_reward('final_answer', REWARDS, PENALTIES)} AS score FROM merged){wide('scored')} """ + " UNION ALL ".join(
+    against("penalty", r) for r in ("raw", "beam")
 )
 
 # --- scoring and validation
@@ -631,6 +631,14 @@ ORACLES["lookahead_scripted"] = f"""{_TWO_STEPS}
   , placed AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY value DESC, total DESC, ord) AS place FROM valued)
   SELECT prompt_id, md5({trim('max(CASE WHEN place = 1 THEN text END)')}) AS answer_md5, round(max(CASE WHEN place = 1 THEN total END), 9) AS final_score, CAST(sum(c) AS BIGINT) AS verifier_call_count
   FROM placed GROUP BY prompt_id"""
+ORACLES["lookahead_records"] = f"""{_TWO_STEPS}
+  , below AS (SELECT prompt_id, parent AS ord, max(total) AS best FROM second_level GROUP BY ALL)
+  , ranked AS (SELECT *, {_RANK} FROM first_level)
+  SELECT f.prompt_id, 'ttc_mcts' AS method, CAST(f.ord AS BIGINT) AS place, md5(f.text) AS text_md5, round(f.total, 9) AS total_score, f.is_complete,
+         round(CASE WHEN f.ord < 3 THEN coalesce(best, f.total) ELSE f.total END, 9) AS value, '3' AS budget
+  FROM first_level f LEFT JOIN below b ON b.prompt_id = f.prompt_id AND b.ord = f.ord
+  UNION ALL
+  SELECT prompt_id, 'ttc_beam', place - 1, md5(text), round(total, 9), is_complete, NULL, NULL FROM ranked WHERE place <= 2"""
 
 # --- training logs, formats, streams
 

@@ -503,7 +503,7 @@ def merge_score_compare(spark, sf_dir):
     found = evaluation.merge_score_compare(
         expected, outputs, scoring.rule_scorer(REWARDS, PENALTIES), "penalty", ["raw", "beam"]
     )
-    return shaped(found["pairwise"].drop("loss_ids"))
+    return shaped(found["pairwise"].withColumn("loss_ids", F.array_join("loss_ids", ",")))
 
 
 # --- scoring and validation -------------------------------------------------------------
@@ -887,6 +887,22 @@ def lookahead_scripted(spark, sf_dir):
     return shaped(found.select("prompt_id", F.md5("final_answer").alias("answer_md5"), "final_score", "verifier_call_count"))
 
 
+@query
+def lookahead_records(spark, sf_dir):
+    """Branches of the lookahead's records and of the beam's, read from one table of records."""
+    scorer = scoring.rule_scorer(REWARDS, PENALTIES)
+    looked = selection.lookahead(
+        beam_prompts(spark, sf_dir), selection.scripted_expander(beam_script(spark, sf_dir), by_prompt=True), scorer, budget=3, beta=1.5
+    )
+    beam = selection.rerank(view(spark, sf_dir, "outputs", "candidates"), scorer, beam_width=2, beta=1.5)
+    records = selection.inference_records(looked, "gen", "rule").unionByName(selection.inference_records(beam, "gen", "rule"))
+    branches = records.select("prompt_id", "method", "branch_values", "decoding_parameters", F.posexplode("branch_scores").alias("place", "b"))
+    return shaped(branches.select(
+        "prompt_id", "method", "place", F.md5("b.text").alias("text_md5"), "b.total_score", "b.is_complete",
+        F.get("branch_values", F.col("place")).alias("value"), F.col("decoding_parameters")["simulation_budget"].alias("budget"),
+    ))
+
+
 @query
 def near_duplicate_answers(spark, sf_dir):
     """Verdict for each assistant message and the user message after it."""

@@ -71,7 +71,7 @@ runs AS (
   SELECT seq + 1000000000 AS seq, prompt_id, prompt, method, latency_ms, verifier_call_count, 'again ' || final_answer AS final_answer
   FROM outputs WHERE method = 'beam' AND lang = 'de'),
 expected AS (
-  SELECT prompt_id, prompt FROM outputs WHERE method = 'raw' AND source <> 'src4')"""
+  SELECT seq, prompt_id, prompt FROM outputs WHERE method = 'raw' AND source <> 'src4')"""
 
 REVIEWS = """
 reviews AS (

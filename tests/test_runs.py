@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 
 import pandas as pd
 import pytest
@@ -198,6 +199,22 @@ def test_answer_stats(spark):
     assert answer_rules.answer_stats(df.limit(0)).first().rows == 0
 
 
+def test_carried_subjects_of_long_texts(spark):
+    """Every sentence of 20,000 once, and in linear time; null, empty and markless texts."""
+    said = ["memcpy one.", "It goes on.", "Now memmove.", "And it.", "memcpy and memmove.", "Both."]
+    wanted = ["memcpy", "memcpy", "memmove", "memmove", "", ""]
+    data = [(1, " ".join(said * 3500)), (2, ""), (3, None), (4, "It. Is.")]
+    df = spark.createDataFrame(data, "id INT, text STRING")
+    started = time.perf_counter()
+    got = rows(answer_rules.carried_subjects(df, "id", "text"), "id", "pos")
+    assert time.perf_counter() - started < 20
+    first = sorted((r for r in got if r["id"] == 1), key=lambda r: r["pos"])
+    assert [r["pos"] for r in first] == list(range(21_000))
+    assert [r["sentence"] for r in first] == said * 3500 and [r["subject"] for r in first] == wanted * 3500
+    assert [(r["id"], r["pos"], r["sentence"], r["subject"]) for r in got if r["id"] > 1] == [
+        (2, 0, "", ""), (4, 0, "It.", ""), (4, 1, "Is.", "")]
+
+
 def test_carried_subjects(spark):
     df = spark.createDataFrame([(1, "Start. memcpy is fast. It copies. memmove and memcpy differ! So it is.\nmemmove wins.")], "id INT, text STRING")
     got = rows(answer_rules.carried_subjects(df, "id", "text"), "pos")

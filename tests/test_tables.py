@@ -8,9 +8,9 @@ from tests.conftest import rows
 def test_overall_errors_latency(spark):
     df = spark.createDataFrame(
         [
-            ("p1", "raw", ">>> slogan ===>", 0, 10.0),
-            ("p1", "ttc_beam", "State assumptions and boundary conditions.", 2, 25.0),
-            ("p2", "raw", "```c\nint main(void) {return 0;}\n", 0, None),
+            ("p1", "raw", ">>> buy now ===>", 0, 10.0),
+            ("p1", "ttc_beam", "The limits come first, then the steps.", 2, 25.0),
+            ("p2", "raw", "```c\nlong one(void) {return 1;}\n", 0, None),
         ],
         "prompt_id STRING, method STRING, final_answer STRING, verifier_call_count INT, latency_ms DOUBLE",
     )
@@ -90,8 +90,8 @@ def test_human_preference_table(spark):
 def test_guardrail(spark):
     outputs = spark.createDataFrame(
         [
-            ("guardrail-0001", "ttc_beam", "Use memmove when ranges overlap. State assumptions before calling memcpy."),
-            ("guardrail-0002", "raw", "pthread_mutex_lock is always safe and deadlock cannot happen."),
+            ("guardrail-0001", "ttc_beam", "Shared ranges overlap, so memmove. Before memcpy name your assumptions."),
+            ("guardrail-0002", "raw", "Such a lock is always safe, a deadlock cannot happen."),
         ],
         "prompt_id STRING, method STRING, final_answer STRING",
     )
@@ -140,9 +140,9 @@ def test_guardrail_prompts(spark):
 
 
 PAIRS = [
-    ("p1", "Clear answer with assumptions.", ">>> noisy slogan", 3.0, -1.0),
-    ("p2", "Structured answer with boundary conditions.", "Bad answer ===>", 2.5, 0.0),
-    ("p3", "Correct but concise.", "Incorrect answer.", 0.5, 1.0),
+    ("p1", "Plain reply, limits named.", ">>> loud reply", 3.0, -1.0),
+    ("p2", "Ordered reply that covers both ends.", "Poor reply ===>", 2.5, 0.0),
+    ("p3", "Right and short.", "Wrong reply.", 0.5, 1.0),
 ]
 
 
