@@ -146,6 +146,7 @@ class LineState:
     shards: int
     min_docs: int = MIN_DOCS
     min_chars: int = MIN_CHARS
+    shard_keys: int = SHARD_KEYS
 
 
 def _refreshed(held: pa.Table | None, keys: pa.Table, min_docs: int) -> pa.Table:
@@ -179,30 +180,49 @@ def _shard(shards: int):
 def build(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS) -> LineState:
     """Count all lines of ``docs`` and make the filters; an empty table gives an empty state that can be inserted into."""
     refs = landed(document_counts(docs, min_chars), "line-refs")
-    shards = max(LEAST_SHARDS, 1 << (refs.count() // shard_keys).bit_length())
+    shards = _shards_for(refs.count(), shard_keys)
+    return LineState(refs, _new_filters(refs, shards, min_docs), shards, min_docs, min_chars, shard_keys)
+
+
+def _shards_for(keys: int, shard_keys: int) -> int:
+    return max(LEAST_SHARDS, 1 << (keys // shard_keys).bit_length())
+
+
+def _new_filters(refs: DataFrame, shards: int, min_docs: int) -> DataFrame:
     keys = refs.withColumns({"before": F.lit(0).cast("long"), "shard": _shard(shards), "shards": F.lit(shards)})
-    filters = keys.groupBy("shard").applyInArrow(lambda t: _refreshed(None, t, min_docs), FILTERS)
-    return LineState(refs, landed(filters, "line-filters"), shards, min_docs, min_chars)
+    return landed(keys.groupBy("shard").applyInArrow(lambda t: _refreshed(None, t, min_docs), FILTERS), "line-filters")
 
 
 def _changed(state: LineState, docs: DataFrame, sign: int) -> LineState:
     delta = document_counts(docs, state.min_chars).select("hi", "lo", (F.col("refs") * sign).alias("delta"))
     both = state.refs.select("hi", "lo", F.col("refs").alias("before"), F.lit(0).cast("long").alias("delta")).unionByName(delta.withColumn("before", F.lit(0).cast("long")))
     counted = landed(both.groupBy("hi", "lo").agg(F.sum("before").alias("before"), (F.sum("before") + F.sum("delta")).alias("refs")), "line-counts")
-    keys = counted.withColumns({"refs": F.greatest("refs", F.lit(0)), "shard": _shard(state.shards), "shards": F.lit(state.shards)})
-    min_docs = state.min_docs
+    if sign < 0 and not counted.where("refs < 0").isEmpty():
+        raise ValueError("documents to delete hold lines that the state never counted so often")
+    refs, min_docs = counted.where("refs > 0").select("hi", "lo", "refs"), state.min_docs
+    shards = _shards_for(refs.count(), state.shard_keys)
+    if shards > state.shards:  # the shards split: a filter holds no keys to deal out, so all are made anew
+        return replace(state, refs=refs, filters=_new_filters(refs, shards, min_docs), shards=shards)
+    keys = counted.withColumns({"shard": _shard(state.shards), "shards": F.lit(state.shards)})
     old = state.filters.groupBy("shard")
     filters = old.cogroup(keys.groupBy("shard")).applyInArrow(lambda held, t: _refreshed(held, t, min_docs) if len(t) else held, FILTERS)
-    return replace(state, refs=counted.where("refs > 0").select("hi", "lo", "refs"), filters=landed(filters, "line-filters"))
+    return replace(state, refs=refs, filters=landed(filters, "line-filters"))
 
 
 def insert(state: LineState, docs: DataFrame) -> LineState:
-    """Count further documents; must come before their ``drop_lines``."""
+    """Count further documents; must come before their ``drop_lines``.
+
+    The number of shards doubles as often as the keys need it, so a state that began empty
+    keeps as many keys a shard as one built at once.
+    """
     return _changed(state, docs, 1)
 
 
 def delete(state: LineState, docs: DataFrame) -> LineState:
-    """Take back documents that were inserted: the state is as if they had never come."""
+    """Take back documents that were inserted: the state is as if they had never come.
+
+    Documents with lines that the state does not hold (so often) are an error.
+    """
     return _changed(state, docs, -1)
 
 

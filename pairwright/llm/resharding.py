@@ -9,10 +9,9 @@ Equal texts lie side by side, and a cut goes around their group unless the group
 
 import heapq
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pairwright.llm.shared import keyed, landed, occurrence, replaced, same
-from pairwright.session import fresh_dir
 
 SHARDS = 40
 OVERHEAD = 16
@@ -174,10 +173,64 @@ def affected(planned: DataFrame) -> list[int]:
     return sorted(r[0] for r in moved.select(F.explode(F.array("shard", "old_shard")).alias("shard")).distinct().collect())
 
 
-def rewrite(sharded: DataFrame, path: str | None = None) -> str:
-    """Write the affected shards' files again, a folder per shard; the files of other shards need not be touched."""
-    path = path or fresh_dir(sharded.sparkSession, "shards")
-    changed = affected(sharded)
-    files = sharded.where(F.col("shard").isin(changed)).repartition("shard", F.floor(F.col("slot") / FILE_ROWS))
-    files.sortWithinPartitions("shard", "slot").write.mode("append").partitionBy("shard").parquet(path)
+MANIFEST = "version int, shard int, folder string"
+
+
+def _written(sharded: DataFrame, folder: str) -> list[int]:
+    """Write a folder per shard; the shards that hold rows."""
+    files = sharded.repartition("shard", F.floor(F.col("slot") / FILE_ROWS)).sortWithinPartitions("shard", "slot")
+    files.write.mode("overwrite").partitionBy("shard").parquet(folder)
+    held = sharded.sparkSession.read.schema(sharded.schema).parquet(folder).select("shard").distinct()
+    return sorted(r.shard for r in held.collect())  # one number a shard
+
+
+def _recorded(spark: SparkSession, path: str, version: int, folders: dict[int, str]) -> None:
+    """Add a version to the manifest, a row a shard and one that names the version; this commits it."""
+    rows = [(version, None, None), *((version, s, f) for s, f in sorted(folders.items()))]
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
+def _manifest(spark: SparkSession, path: str, version: int | None) -> tuple[int, dict[int, str]]:
+    table = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    rows = table.collect()  # one row a shard and version
+    version = max(r.version for r in rows) if version is None else version
+    return version, {r.shard: r.folder for r in rows if r.version == version and r.shard is not None}
+
+
+def write_shards(sharded: DataFrame, path: str) -> str:
+    """Write all shards of a table (with ``shard`` and ``slot``) as version 0 of a new folder ``path``."""
+    spark = sharded.sparkSession
+    sharded.limit(0).write.parquet(f"{path}/empty")  # the columns, for a table without rows
+    folder = f"{path}/version=0"
+    _recorded(spark, path, 0, {s: folder for s in _written(sharded, folder)})
     return path
+
+
+def rewrite(sharded: DataFrame, path: str) -> list[int]:
+    """Make ``path`` hold the new shards, by a new version that writes the affected ones only; returns those.
+
+    ``sharded`` may be read from ``path`` itself: its ``old_shard`` is a row's shard there.  The
+    other shards hold the rows they held, with the slots and added columns of before.  The
+    files of earlier versions stay as they are, so a run that dies leaves the old version, and
+    the next run writes over what it left.  A shard that lost all its rows is no longer listed.
+    ``read_shards`` reads any version.
+    """
+    spark = sharded.sparkSession
+    version, folders = _manifest(spark, path, None)
+    changed = affected(sharded)
+    columns = spark.read.parquet(f"{path}/empty").columns
+    folder = f"{path}/version={version + 1}"
+    held = _written(sharded.where(F.col("shard").isin(changed)).select(*columns), folder)
+    kept = {s: f for s, f in folders.items() if s not in changed}
+    _recorded(spark, path, version + 1, kept | {s: folder for s in held})
+    return changed
+
+
+def read_shards(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The rows of a version, the newest by default, from the shards' folders that the manifest names."""
+    _, folders = _manifest(spark, path, version)
+    empty = spark.read.parquet(f"{path}/empty")
+    if not folders:
+        return empty
+    found = spark.read.schema(empty.schema).option("basePath", path).parquet(*(f"{f}/shard={s}" for s, f in sorted(folders.items())))
+    return found.select(*empty.columns)

@@ -259,6 +259,24 @@ def test_lines_equal_brute_force_and_are_reversible(spark):
     assert lines_of(line_dedup.drop_lines(back, first)) == brute_lines(rows[:40], 5)
 
 
+def test_line_state_grows_from_empty(spark, none):
+    """Inserts from an empty state equal one build, shards included; documents that never came cannot be deleted."""
+    rows = [(i, "\n".join(f"Line {(i * 7 + k) % 90}" for k in range(6)), None, None, None) for i in range(120)]
+    state = line_dedup.build(none, min_docs=5, shard_keys=1)
+    for start in range(0, 120, 40):
+        state = line_dedup.insert(state, docs_of(spark, rows[start : start + 40]))
+    whole = docs_of(spark, rows)
+    built = line_dedup.build(whole, min_docs=5, shard_keys=1)
+    assert state.shards == built.shards > line_dedup.LEAST_SHARDS
+    assert sorted(map(tuple, state.refs.collect())) == sorted(map(tuple, built.refs.collect()))
+    assert lines_of(line_dedup.drop_lines(state, whole)) == brute_lines(rows, 5)
+    assert lines_of(line_dedup.drop_lines(state, whole, broadcast_bytes=0)) == brute_lines(rows, 5)
+    left = line_dedup.delete(state, docs_of(spark, rows[40:]))
+    assert lines_of(line_dedup.drop_lines(left, docs_of(spark, rows[:40]))) == brute_lines(rows[:40], 5)
+    with pytest.raises(ValueError, match="never counted"):
+        line_dedup.delete(left, docs_of(spark, rows[40:80]))
+
+
 def test_cuckoo():
     rng = np.random.default_rng(0)
     hi, lo = rng.integers(-(2**63), 2**63 - 1, (2, 5000))
@@ -527,9 +545,38 @@ def test_resharding(spark, odd, clashing, none, monkeypatch):
     slots = sorted((r.shard, r.slot) for r in odd_rows.collect())
     assert slots == [(s, k) for s, g in itertools.groupby(slots, lambda x: x[0]) for k, _ in enumerate(g)]
     assert resharding.plan(none).count() == 0
-    full = resharding.resharded(docs, 7)
-    path = resharding.rewrite(full)
-    assert spark.read.parquet(path).count() == full.where(F.col("shard").isin(resharding.affected(full))).count()
+
+
+def test_rewritten_files_hold_the_plan(spark, none, tmp_path, monkeypatch):
+    """An old folder and a rewrite of the affected shards give the new plan, emptied shards and all."""
+    monkeypatch.setattr(resharding, "BLOCK_ROWS", 8)
+    rng = random.Random(11)
+    docs = docs_of(spark, [(i, "y" * rng.randint(0, 200), None, "s", None) for i in range(600)])
+    path = f"{tmp_path}/shards"
+    resharding.write_shards(resharding.resharded(docs, 6), path)
+    old = resharding.read_shards(spark, path)
+    sizes = {r.shard: r.total for r in old.groupBy("shard").agg(F.sum("size").alias("total")).collect()}
+    assert len(sizes) == 6 and old.count() == 600
+    # shards 4 and 5 are emptied into shards 0 and 1; 2 and 3 keep what they have
+    capacity = [sizes[0] + sizes[4], sizes[1] + sizes[5], sizes[2], sizes[3], 0, 0]
+    new = resharding.resharded(old, 6, old_shard=F.col("shard"), capacity=capacity)
+    want = new.collect()
+    changed = resharding.rewrite(new, path)
+    got = resharding.read_shards(spark, path)
+    found = got.collect()
+    assert sorted((r.doc_id, r.text, r.shard) for r in found) == sorted((r.doc_id, r.text, r.shard) for r in want)
+    # slots are the plan's in the shards written anew, those of before in the others, without gaps in all
+    slots = {r.doc_id: r.slot for r in want if r.shard in changed} | {r.doc_id: r.slot for r in old.collect() if r.shard not in changed}
+    assert all(r.slot == slots[r.doc_id] for r in found)
+    places = sorted((r.shard, r.slot) for r in found)
+    assert places == [(s, k) for s, g in itertools.groupby(places, lambda x: x[0]) for k, _ in enumerate(g)]
+    assert {4, 5} <= set(changed) and {r.shard for r in got.select("shard").distinct().collect()} <= {0, 1, 2, 3}
+    files = {f.split("version=")[1].split("/")[0] + "/" + f.split("shard=")[1].split("/")[0] for f in got.inputFiles()}
+    assert files == {f"{int(s in changed)}/{s}" for s in range(4)}
+    assert sorted((r.doc_id, r.shard) for r in resharding.read_shards(spark, path, 0).collect()) == sorted((r.doc_id, r.shard) for r in old.collect())
+    nothing = f"{tmp_path}/nothing"
+    resharding.write_shards(resharding.resharded(none, 3), nothing)
+    assert resharding.read_shards(spark, nothing).count() == 0 and "slot" in resharding.read_shards(spark, nothing).columns
 
 
 def test_equal_texts_share_a_shard(spark):
