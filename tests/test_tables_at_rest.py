@@ -37,3 +37,11 @@ def test_a_folder_of_files_and_a_single_file_are_streamed_alike(spark, tmp_path)
     one = incremental.stream_parquet(spark, str(tmp_path / "one"), "documents*.parquet", DOCUMENTS)
     incremental.append_to(one, f"{tmp_path}/out", f"{tmp_path}/log", sink="parquet").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == spark.read.parquet(str(part)).count() > 0
+
+
+def test_streamed_parts_are_written_by_every_task(spark, tmp_path, monkeypatch):
+    path, shared = documents(spark, tmp_path / "in", 60, files=3), tmp_path / "shared"
+    monkeypatch.setattr("querybook.registry.fresh_dir", lambda spark, name: str(shared))
+    found = rows(QUERIES["stream_completeness"](spark, path), "method")
+    assert [(r["method"], r["answered"], r["missing"]) for r in found] == [("penalty", 15, 0), ("raw", 15, 0), ("sft", 15, 0)]
+    assert len(list(shared.glob("in/part=3/*.parquet"))) > 1  # one task would write one file
