@@ -9,12 +9,15 @@ heavy keys gives the same result, copies of one row included.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pairwright.operators.quantiles import same_keys
+
 MAX_HEAVY_KEYS = 100
 TRACKED_KEYS = 10_000
 MIN_HEAVY_ROWS = 200_000
 SALTS = 64
 BROADCAST_BYTES = 64 * 1024 * 1024
 BROADCAST_ROWS = 1_000_000
+NUMBERED_BLOCK = 4096
 
 
 def shuffle_partitions(df: DataFrame) -> int:
@@ -104,6 +107,21 @@ def winners(df: DataFrame, key: list[str], order: str, largest: bool = True) ->
     return met.withColumn("_nth", once).where("_nth = 1").select(*df.columns)
 
 
+def numbered(df: DataFrame, key: list[str], order: str, block: int = NUMBERED_BLOCK) -> DataFrame:
+    """``df`` with ``nth``, the place of a row from 1 among the rows of its key in the order of ``order``, a whole number.
+
+    Rows are placed in blocks of ``block`` consecutive orders, a task each, behind the counts
+    of the blocks before: no task holds a whole key.  Null keys are keys; rows of one order
+    come in any sequence.
+    """
+    dealt = df.withColumn("_block", F.floor(F.col(order) / block))
+    counts = dealt.groupBy(*key, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*key, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*key, "_block").orderBy(order)).cast("long")
+    return same_keys(dealt.withColumn("_place", place), before, [*key, "_block"]).withColumn("nth", F.col("_before") + F.col("_place")).drop("_block", "_before", "_place")
+
+
 def last_by_key(df: DataFrame, key: list[str], order: str) -> DataFrame:
     """The row with the highest ``order`` per key."""
     return winners(df, key, order)

@@ -1,9 +1,13 @@
 """Queries over tables as a cluster keeps them: folders of files, the last prompt cut off by the table's end."""
 
+import re
+
 import pytest
+from pyspark.sql import Window, functions as F
 
+from pairwright.operators import joins
 from pairwright.streaming import incremental
-from querybook.registry import METHODS, QUERIES
+from querybook.registry import METHODS, QUERIES, val_pairs_of, view
 from tests.conftest import rows
 
 DOCUMENTS = "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG"
@@ -45,3 +49,27 @@ def test_streamed_parts_are_written_by_every_task(spark, tmp_path, monkeypatch):
     found = rows(QUERIES["stream_completeness"](spark, path), "method")
     assert [(r["method"], r["answered"], r["missing"]) for r in found] == [("penalty", 15, 0), ("raw", 15, 0), ("sft", 15, 0)]
     assert len(list(shared.glob("in/part=3/*.parquet"))) > 1  # one task would write one file
+
+
+def labelled(spark, path, n):
+    spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(n)], "doc_id LONG, quality INT, toxic INT").write.parquet(f"{path}/labels.parquet")
+
+
+def test_labelled_pairs_are_those_of_the_view_joined_by_place(spark, tmp_path, capsys):
+    path = documents(spark, tmp_path, 200)
+    labelled(spark, path, 180)
+    pairs = val_pairs_of(spark, path)
+    want = view(spark, path, "outputs", "scores", "val_pairs")
+    assert pairs.columns == want.columns and pairs.dtypes == want.dtypes
+    assert rows(pairs, "prompt_id") == rows(want, "prompt_id") and want.count() == 60
+    # the language alone is no join key: good and bad ones of a language would all meet
+    pairs.explain()
+    joined = [line for line in capsys.readouterr().out.splitlines() if "Join" in line]
+    assert any("nth" in line for line in joined) and not any(re.search(r"SortMergeJoin \[lang#\d+\], ", line) for line in joined)
+
+
+def test_places_are_those_of_one_window(spark):
+    made = [(("a", "b", None)[i * 7 % 3], i * 37 % 1000 - 500, i) for i in range(300)]
+    df = spark.createDataFrame(made, "k STRING, o LONG, i INT")
+    want = df.withColumn("nth", F.row_number().over(Window.partitionBy("k").orderBy("o")).cast("long"))
+    assert rows(joins.numbered(df, ["k"], "o", block=16), "i") == rows(want, "i")
