@@ -8,6 +8,7 @@ from pairwright.operators.completeness import Outputs, completeness_report, merg
 from pairwright.operators.guardrail import guardrail_details, guardrail_summary
 from pairwright.operators.requests import judge_requests
 from pairwright.operators.scoring import Scorer, score_outputs
+from pairwright.session import landed
 from pairwright.sources.csv_tables import write_csv
 from pairwright.sources.jsonl import write_jsonl, write_summary
 
@@ -81,7 +82,8 @@ def criteria_evaluation(
 
 def method_metrics(outputs: DataFrame) -> DataFrame:
     """The three per-method tables as one; the text is measured once."""
-    numbers = tables.method_numbers(outputs).persist(StorageLevel.MEMORY_AND_DISK)
+    # written once: branches of a plan that read persisted rows at a time would each measure them on their own executors
+    numbers = landed(tables.method_numbers(outputs), "method-numbers")
     return tables.join_metric_tables(
         tables.overall_table(numbers), tables.error_breakdown(numbers), tables.latency_table(numbers)
     )
