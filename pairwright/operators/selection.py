@@ -57,11 +57,12 @@ def scripted_expander(script: DataFrame, by_prompt: bool = False) -> Expander:
 
     def expand(beams: DataFrame, count: int) -> DataFrame:
         keys = ["prompt_id", "prefix"] if by_prompt else ["prefix"]
-        entries = _entries(script, keys, count)
-        root = _entries(script.where(F.col("prefix") == ""), keys, count).withColumnRenamed("entries", "root")
+        # entries of the empty prefix are the root's, which every beam meets anyway: they need not travel twice
+        entries = _entries(script.where(F.col("prefix") != ""), keys, count)
+        root = _entries(script.where(F.col("prefix") == ""), keys[:-1] or keys, count).withColumnRenamed("entries", "root")
         if by_prompt:
             # a prompt has at most beam_width open beams, so no key is hot
-            found = beams.join(entries, keys, "left").join(root.drop("prefix"), ["prompt_id"], "left")
+            found = beams.join(entries, keys, "left").join(root, ["prompt_id"], "left")
         else:
             found = dimension_join(beams, entries, keys, "left").withColumn("root", root.select("root").scalar())
         return (
